@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, language_id, sentencepiece_codec
+from millrace.llm import exact_dedup, language_id, line_dedup, sentencepiece_codec
 from millrace.llm.shared import table
 
 
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,10 +36,37 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS line FROM d),
+        p AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos, len(regexp_split_to_array(trim(x), '\s+')) >= 20 AS long
+            FROM l WHERE trim(x) <> ''
+        ),
+        w AS (
+            SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY pos) AS y,
+                row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) > 1 AS again
+            FROM p
+        ),
+        v AS (SELECT *, y IS NOT NULL AND row_number() OVER (PARTITION BY x, y ORDER BY doc_id, pos) > 1 AS pair FROM w),
+        g AS (SELECT doc_id, pos, line, x, (long AND again) OR pair OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM v),
+        s AS (
+            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE gone AND NOT before) AS n_runs
+            FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM g) GROUP BY doc_id
+        ),
+        k AS (
+            SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.line) AS kept
+            FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.line = l.line AND g.gone WHERE g.doc_id IS NULL GROUP BY l.doc_id
+        )
+        SELECT d.doc_id, CASE WHEN d.text = '' THEN 0 ELSE len(ls) END AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+            sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
     "op9_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

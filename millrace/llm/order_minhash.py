@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.fingerprints import MULTIPLIER, Stretches, mixed
 from millrace.llm.shared import ship, stored, texts
 
 WORDS, SIMILARITY = 5, 0.8
@@ -39,32 +40,6 @@ ROWS, ROWS_OF_BAND = 32, 2
 #: Leaders of a bucket that are compared in one round after the first; shingles hashed at a time.
 LEADERS, PART = 8, 1 << 15
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as they were needed."""
-
-    base = 0xD6E8FEB86659FD93
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = max(n, 1 << 16)
-            steps = np.full(n, cls.base, np.uint64), np.full(n, pow(cls.base, -1, 1 << 64), np.uint64)
-            for x in steps:
-                x[0] = 1
-            cls.up, cls.down = np.cumprod(steps[0]), np.cumprod(steps[1])
-        return cls.up, cls.down
-
-
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """A 64-bit hash of each shingle, in order. Words are separated by ASCII white space."""
     data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
@@ -74,14 +49,11 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = _Powers.to(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    word = _mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    word = Stretches(data).of(start, end)
     n = max(1, len(word) - words + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(words, len(word))):
-        out = _mixed(out * MULTIPLIER + word[k : k + n])
+        out = mixed(out * MULTIPLIER + word[k : k + n])
     return out
 
 
@@ -94,13 +66,13 @@ def labelled(x: np.ndarray) -> np.ndarray:
     at = np.arange(len(x))
     nth = np.empty(len(x), np.uint64)
     nth[order] = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
-    return _mixed(x + nth * MULTIPLIER)
+    return mixed(x + nth * MULTIPLIER)
 
 
 def bands(x: np.ndarray, rows: int = ROWS, of_band: int = ROWS_OF_BAND) -> np.ndarray:
     """A 64-bit key for each band of a text with these shingles."""
     x = labelled(x)
-    factors = (_mixed(np.arange(1, rows + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1))[:, None]
+    factors = (mixed(np.arange(1, rows + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1))[:, None]
     kept: np.ndarray | None = None  # positions of the two smallest of each row so far
     for at in range(0, len(x), PART):
         here = np.arange(at, min(at + PART, len(x)))
@@ -115,10 +87,10 @@ def bands(x: np.ndarray, rows: int = ROWS, of_band: int = ROWS_OF_BAND) -> np.nd
         two = h.argmin(1)
         kept = np.stack([where[each, one], where[each, two]], 1)
     kept = np.sort(kept, 1)  # text order
-    row = _mixed(_mixed(x[kept[:, 0]]) * MULTIPLIER + x[kept[:, 1]])
+    row = mixed(mixed(x[kept[:, 0]]) * MULTIPLIER + x[kept[:, 1]])
     key = np.arange(1, rows // of_band + 1, dtype=np.uint64)
     for part in row.reshape(rows // of_band, of_band).T:
-        key = _mixed(key * MULTIPLIER + part)
+        key = mixed(key * MULTIPLIER + part)
     return key
 
 

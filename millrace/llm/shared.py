@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -55,7 +56,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read from there: cuts lineage, and no executor's loss makes it run again."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()  # Spark deletes shuffle files once nothing refers to the plan that made them
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

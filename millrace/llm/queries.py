@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, exact_dedup, language_id, line_dedup, order_minhash, revisits, sentencepiece_codec, suffix_dedup
+from millrace.llm import decontamination, exact_dedup, language_id, line_dedup, order_minhash, pii_crf, revisits, sentencepiece_codec, suffix_dedup
 from millrace.llm.shared import stored, table
 
 
@@ -21,6 +21,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.find(docs, pii_crf.learn(docs))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.learn(docs))
@@ -57,6 +62,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_pii_crf": op2_pii_crf,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, exact_dedup, language_id, line_dedup, order_minhash, pii_crf, revisits, sentencepiece_codec, suffix_dedup
+from millrace.llm import decontamination, exact_dedup, language_id, line_dedup, order_minhash, pii_crf, revisits, sentencepiece_codec, suffix_dedup, token_blocks
 from millrace.llm.shared import stored, table
 
 
@@ -39,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.written_and_read(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2)
+
+
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC records of three crawls (revisits.captures), written, read back and resolved."""
     records = stored(revisits.read_warc(revisits.write_warc(revisits.captures(table(spark, sf_dir, "pages")))), "records")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_token_blocks": op6_token_blocks,
     "op7_revisits": op7_revisits,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,

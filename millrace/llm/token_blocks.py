@@ -5,13 +5,13 @@ and the documents are laid one after another in ascending id order. The ids are
 blocks of `BLOCK`. A block is coded on its own: its models start anew, it has the CRC-32
 of its ids, and it says which documents it holds parts of.
 
-The coder predicts each id three ways. Order 2: the id that last followed the two ids
-before; order 1: the one that last followed the id before; a flag each tells whether it
-came, its probability adapting to how often the prediction has held. Otherwise order 0:
-the number of bits of the id is coded bit by bit, from a mixture of the frequencies alone
-and after the last id's class, weighted by how well either has predicted; the remaining
-bits are coded evenly. All arithmetic is in integers, so any machine decodes alike.
-Many blocks go through the coder side by side, one in each lane of an array.
+The coder predicts each id three ways: order 2, the id that last followed the two ids
+before; order 1, the one that last followed the id before; order 0, the class of the id,
+which is its number of bits. A symbol tells which prediction came true, its probability a
+mixture of three counts that adapt: of the block so far, after the last id's class, and
+where the two predictions were trusted as much as now. Bits below the class are coded
+evenly. All arithmetic is in integers, so any machine decodes alike. Many blocks go
+through the coder side by side, one in each lane of an array.
 
 File format (little-endian), one binary value for each block: magic `MRTB`, version (u8),
 bits of the class (u8), ids (u32), CRC-32 of the ids as u32s (u32), parts of documents
@@ -45,7 +45,7 @@ from millrace.llm.shared import scratch, texts
 BLOCK, LANES, KEPT = 2048, 2048, 300_000
 MAGIC, VERSION, NULL_ID = b"MRTB", 1, -(2**63)
 HEAD, PART = struct.Struct("<4sBBIIII"), struct.Struct("<IIBq")
-_ORDER1, _ORDER2 = 1024, 2048
+_ORDER1, _ORDER2 = 512, 1024
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
 
@@ -68,15 +68,20 @@ class _Range:
                 self.code = self.code << _16 | self.words[:, k]
             self.at += 4
 
-    def bit(self, m: int, p: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        """Codes a bit in lanes 0 .. m - 1; p: 65536 times the probability of 1; 0: no bit is coded."""
+    def symbol(self, m: int, counts: np.ndarray, given: np.ndarray | None) -> np.ndarray:
+        """Codes a symbol in lanes 0 .. m - 1; counts: how often each symbol is expected, a row for each lane."""
         low, whole = self.low[:m], self.range[:m]
-        cut = (whole >> _16) * p.astype(np.uint64)
-        one = (self.code[:m] - low) < cut if given is None else given
-        low += np.where(one, np.uint64(0), cut)
-        np.copyto(whole, np.where(one, cut, whole - cut))
+        ends = np.cumsum(counts, 1, dtype=np.int32)
+        whole //= ends[:, -1].astype(np.uint64)
+        if given is None:
+            given = (ends <= np.minimum((self.code[:m] - low) // whole, 2**31 - 1).astype(np.int64)[:, None]).sum(1)
+            np.minimum(given, counts.shape[1] - 1, out=given)
+        lanes = np.arange(m)
+        size = counts[lanes, given]
+        low += whole * (ends[lanes, given] - size).astype(np.uint64)
+        whole *= size.astype(np.uint64)
         self._shift(m)
-        return one
+        return given
 
     def even(self, m: int, bits: np.ndarray, value: np.ndarray | None) -> np.ndarray:
         """Codes numbers of so many bits, at most 16, each equally likely."""
@@ -112,72 +117,60 @@ class _Range:
         return [self.words[k, :n].copy() for k, n in enumerate(self.at)]
 
 
+def _class(value: np.ndarray) -> np.ndarray:
+    """Bits of positive numbers, less one."""
+    return np.frexp(value.astype(np.float64))[1].astype(np.int64) - 1
+
+
 def _code(sizes: list[int], class_bits: int, ids: list[np.ndarray] | None, data: list[np.ndarray] | None) -> list[np.ndarray]:
     """Encodes ids, or decodes data, of blocks of these sizes, longest first."""
-    lanes, most = len(sizes), max(sizes)
-    coder = _Range(lanes, data, most * (class_bits // 4 * 2 + 2) + 16)
-    table = np.zeros((lanes, most), np.int64)
+    lanes, most, classes = len(sizes), max(sizes), 1 << class_bits
+    coder = _Range(lanes, data, most * (class_bits // 4 * 2 + 1) + 16)
+    table = np.zeros((most, lanes), np.int64)
     for k, x in enumerate(ids or []):
-        table[k, : len(x)] = x
+        table[: len(x), k] = x
     of = np.arange(lanes)
-    next1, sure1 = np.zeros((lanes, _ORDER1), np.int64), np.zeros((lanes, _ORDER1), np.int8)
-    next2, sure2 = np.zeros((lanes, _ORDER2), np.int64), np.zeros((lanes, _ORDER2), np.int8)
-    hit1, hit2 = np.full((lanes, 4), 8192, np.int64), np.full((lanes, 4), 8192, np.int64)
-    classes = 1 << class_bits
-    alone, after = np.full((lanes, classes), 32768, np.int64), np.full((lanes, classes, classes), 32768, np.int64)
-    worth = np.full((2, lanes), 32768, np.int64)
-    last, before, kind = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    # Four times the predicted id, plus how often it has held, up to 3.
+    next1, next2 = (np.zeros((lanes, n), np.int32 if class_bits == 4 else np.int64) for n in (_ORDER1, _ORDER2))
+    # Symbols: the class of an id that isn't predicted, then a hit of order 1, then one of order 2.
+    alone, after, trusted = np.ones((lanes, classes + 2), np.uint16), np.zeros((lanes, classes, classes + 2), np.uint16), np.zeros((lanes, 16, classes + 2), np.uint16)
+    slot1, slot2, kind = (np.zeros(lanes, np.int64) for _ in range(3))
     alive = np.searchsorted(-np.array(sizes), -np.arange(most), "left")  # lanes that have an id at each place
 
-    def learn(p: np.ndarray, where: tuple, one: np.ndarray, on: np.ndarray, rate: int) -> None:
-        old = p[where]
-        p[where] = old + np.where(on, (np.where(one, 65400, 136) - old) >> rate, 0)
-
     for t in range(most):
         m = int(alive[t])
-        o, one_back, two_back = of[:m], last[:m], before[:m]
-        slot1 = one_back * 40503 >> 4 & _ORDER1 - 1
-        slot2 = (one_back * 40503 ^ two_back * 30011) >> 4 & _ORDER2 - 1
-        said1, said2 = next1[o, slot1], next2[o, slot2]
-        trust1, trust2 = sure1[o, slot1], sure2[o, slot2]
-        true = table[:m, t] if ids is not None else None
-        all_on = np.ones(m, bool)
-        two = coder.bit(m, hit2[o, trust2], None if true is None else true == said2)
-        learn(hit2, (o, trust2), two, all_on, 5)
-        ask = ~two & (said1 != said2)
-        one = coder.bit(m, np.where(ask, hit1[o, trust1], 0), None if true is None else ask & (true == said1))
-        learn(hit1, (o, trust1), one, ask, 5)
-        ask = ~(two | one)
-        value = None if true is None else true + 1
-        size = None if true is None else np.frexp(value.astype(np.float64))[1].astype(np.int64) - 1
-        node = np.ones(m, np.int64)
-        back = kind[:m]
-        for b in range(class_bits - 1, -1, -1):
-            p0, p1 = alone[o, node], after[o, back, node]
-            w0, w1 = worth[0, :m], worth[1, :m]
-            p = (p0 * w0 + p1 * w1) // (w0 + w1)
-            x = coder.bit(m, np.where(ask, p, 0), None if size is None else ask & (size >> b & 1 == 1))
-            learn(alone, (o, node), x, ask, 5)
-            learn(after, (o, back, node), x, ask, 4)
-            worth[0, :m] += np.where(ask, (np.where(x, p0, 65536 - p0) - w0) >> 5, 0)
-            worth[1, :m] += np.where(ask, (np.where(x, p1, 65536 - p1) - w1) >> 5, 0)
-            node = node * 2 + x
-        size = node - classes
-        bits = np.where(ask, size, 0)
-        rest = None if value is None else np.where(ask, value - (1 << bits), 0)
-        high = np.maximum(bits - 16, 0)
-        top = coder.even(m, high, None if rest is None else rest >> 16) if class_bits > 4 else np.zeros(m, np.int64)
-        rest = coder.even(m, bits - high, None if rest is None else rest & 0xFFFF) + (top << 16)
-        got = np.where(two, said2, np.where(one, said1, (1 << bits) + rest - 1))
-        if ids is None:
-            table[:m, t] = got
-        for said, sure, slot, trust, guess in ((next1, sure1, slot1, trust1, said1), (next2, sure2, slot2, trust2, said2)):
-            sure[o, slot] = np.where(guess == got, np.minimum(trust + 1, 3), 0)
-            said[o, slot] = got
-        np.copyto(kind[:m], np.where(ask, size, back))
-        before[:m] = one_back
-        last[:m] = got
-    return coder.finished() if ids is not None else [table[k, :n] for k, n in enumerate(sizes)]
+        o, s1, s2, back = of[:m], slot1[:m], slot2[:m], kind[:m]
+        held1, held2 = next1[o, s1], next2[o, s2]
+        said1, said2, trust1, trust2 = held1 >> 2, held2 >> 2, held1 & 3, held2 & 3
+        trust = trust2 * 4 + trust1
+        true = size = None
+        if ids is not None:
+            true = table[t, :m]
+            size = _class(true + 1)
+            given = np.where(true == said2, classes + 1, np.where(true == said1, classes, size))
+        symbol = coder.symbol(m, alone[:m] + after[o, back] + trusted[o, trust], None if true is None else given)
+        alone[o, symbol] += 4
+        after[o, back, symbol] += 12
+        trusted[o, trust, symbol] += 12
+        bits = np.where(symbol < classes, symbol, 0)
+        rest = None if true is None else np.where(symbol < classes, true + 1 - (1 << bits), 0)
+        if class_bits > 4:
+            high = np.maximum(bits - 16, 0)
+            top = coder.even(m, high, None if rest is None else rest >> 16)
+            rest = (top << 16) + coder.even(m, bits - high, None if rest is None else rest & 0xFFFF)
+        else:
+            rest = coder.even(m, bits, rest)
+        if true is None:
+            true = np.where(symbol < classes, (1 << bits) + rest - 1, np.where(symbol == classes, said1, said2))
+            table[t, :m] = true
+            size = _class(true + 1)
+        next1[o, s1] = true * 4 + np.where(said1 == true, np.minimum(trust1 + 1, 3), 0)
+        next2[o, s2] = true * 4 + np.where(said2 == true, np.minimum(trust2 + 1, 3), 0)
+        np.copyto(back, size)
+        mixed = true * 40503
+        np.copyto(s2, (mixed ^ s1 * 1973) >> 3 & _ORDER2 - 1)  # the slot of order 1 stands for the id before
+        np.copyto(s1, mixed >> 4 & _ORDER1 - 1)
+    return coder.finished() if ids is not None else [table[:n, k] for k, n in enumerate(sizes)]
 
 
 def encode_blocks(blocks: list[np.ndarray], class_bits: int = 4) -> list[np.ndarray]:

@@ -248,6 +248,11 @@ def word_ids(path: str) -> WordIds:
     return _by_path[path]
 
 
+def packed(ids: np.ndarray, class_bits: int, spans: list[tuple], payload: np.ndarray) -> bytes:
+    head = HEAD.pack(MAGIC, VERSION, class_bits, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(spans), len(payload))
+    return head + b"".join(PART.pack(*s) for s in spans) + payload.astype("<u2").tobytes()
+
+
 SCHEMA = "part int, block long, first long, n long, doc long, data binary"
 
 
@@ -267,8 +272,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str =
             numbers = [np.frombuffer(x, ids.width).astype(np.int64) for _, x, _ in ready]
             rows = []
             for (d, _, spans), x, payload in zip(ready, numbers, encode_blocks(numbers, class_bits), strict=True):
-                head = HEAD.pack(MAGIC, VERSION, class_bits, len(x), zlib.crc32(x.astype("<u4").tobytes()), len(spans), len(payload))
-                rows.append((part, number, first, len(x), d, head + b"".join(PART.pack(*s) for s in spans) + payload.astype("<u2").tobytes()))
+                rows.append((part, number, first, len(x), d, packed(x, class_bits, spans, payload)))
                 number, first = number + 1, first + len(x)
             ready = []
             cols = zip(*rows, strict=True)

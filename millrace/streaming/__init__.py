@@ -1,0 +1 @@
+"""Empty: the engine answers queries over bounded tables and defines no streaming operator."""

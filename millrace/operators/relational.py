@@ -86,7 +86,7 @@ def sort(df: DataFrame, keys: str | Sequence[str] | None = None) -> DataFrame:
 
 
 def number_text(column: Column) -> Column:
-    """A double with six significant digits, as C prints it by default: no trailing zeros, an exponent below -4 or above 5."""
+    """A double with six significant digits, as C prints it by default: no trailing zeros, an exponent below -4 or above 5. Decimal ties are rounded up."""
     short = F.format_string("%.5e", column)
     exponent = F.substring_index(short, "e", -1).cast("int")
     bare = lambda x: F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1")

@@ -114,6 +114,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     kinds = stored(left.groupBy("core", "stretch").agg(F.count("*").alias("n"), F.min(one).alias("one")), "kinds")
     several = kinds.filter(F.col("n") > 1).select("core", "stretch")
     spans = left.join(several, ["core", "stretch"]).select(*key, (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + length).alias("end"))
+    spans = stored(spans, "spans")
+    release(left)
     open_cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter((F.col("least") == 1) & (F.col("kinds") > 1)).select("core")
     fine = kinds.join(open_cores, "core", "left_semi").groupBy("one.doc_id", "one._of").agg(F.collect_list(F.struct("one.place", "one.near", "one.far", "core", (F.col("n") > 1).alias("done"))).alias("a"))
     fine = fine.select("doc_id", "_of", *(F.col(f"a.{c}").alias(c) for c in ("place", "near", "far", "core", "done")))
@@ -131,18 +133,27 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     paired = source.join(fine, [source.doc_id.eqNullSafe(fine.doc_id), source["_of"] == fine["_of"]]).select(source.doc_id, source["_of"], "text", "place", "near", "far", "core", "done")
     parts = stored(paired.mapInArrow(cut, "doc_id long, _of long, last long, done boolean, group long, inner long, outer long, strings array<long>"), "blocks")
+    release(kinds)
     own = F.coalesce("outer", F.xxhash64("doc_id", "_of", "last")).alias("kind")
     parts = parts.select("*", own, F.col("outer").isNull().alias("partial"))
-    sorts = stored(parts.groupBy("group", "kind", "partial").agg(F.count("*").alias("n"), F.any_value("inner").alias("inner"), F.any_value("strings").alias("strings")), "sorts")
-    mine = parts.filter(~F.col("done"))
-    equal = sorts.filter((F.col("n") > 1) & ~F.col("partial")).select("group", "kind")
-    spans = spans.union(mine.filter(~F.col("partial")).join(equal, ["group", "kind"]).select(*key, (F.col("last") - block + 1).alias("start"), (F.col("last") + length).alias("end")))
-    mixed_groups = sorts.groupBy("group", "inner").agg(F.count("*").alias("m")).filter(F.col("m") > 1).select("group", "inner")
-    each = sorts.join(mixed_groups, ["group", "inner"], "left_semi").select("group", "kind", "partial", F.posexplode("strings").alias("d", "string")).filter(F.col("string").isNotNull())
+    same = ["group", "kind", "partial"]
+    # One block stands for all of its kind; strings are looked up for those alone, in groups of several kinds.
+    sorts = stored(parts.groupBy(*same).agg(F.count("*").alias("n"), F.any_value("inner").alias("inner"), F.min(F.struct(*key, "last")).alias("one")), "sorts")
+    mine = parts.filter(~F.col("done")).select(*key, "last", *same)
+    equal = sorts.filter((F.col("n") > 1) & ~F.col("partial")).select(*same)
+    spans = spans.union(mine.join(equal, same, "left_semi").select(*key, (F.col("last") - block + 1).alias("start"), (F.col("last") + length).alias("end")))
+    several = sorts.groupBy("group", "inner").agg(F.count("*").alias("m")).filter(F.col("m") > 1).select("group", "inner")
+    chosen = sorts.join(several, ["group", "inner"], "left_semi").select(*same, F.col("one.doc_id").alias("_id"), F.col("one._of").alias("_text"), F.col("one.last").alias("_last"))
+    each = parts.select(*key, "last", *same, "strings").join(chosen, same).filter(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_text")) & (F.col("last") == F.col("_last")))
+    each = each.select(*same, F.posexplode("strings").alias("d", "string")).filter(F.col("string").isNotNull())
+    each = stored(each, "strings")
     again = each.groupBy("group", "d", "string").agg(F.count("*").alias("m")).filter(F.col("m") > 1).select("group", "d", "string")
-    hit = each.join(again, ["group", "d", "string"]).groupBy("group", "kind", "partial").agg(F.collect_set("d").alias("ds"))
-    single = mine.join(hit, ["group", "kind", "partial"]).select(*key, "last", F.explode("ds").alias("d"))
+    hit = each.join(again, ["group", "d", "string"]).select(*same, "d").distinct()
+    single = mine.join(hit, same)
     spans = spans.union(single.select(*key, (F.col("last") - F.col("d")).alias("start"), (F.col("last") - F.col("d") + length).alias("end")))
+    spans = stored(spans, "spans")
+    for x in (parts, sorts, each):
+        release(x)
     return spans.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 

@@ -71,15 +71,16 @@ class _Range:
     def symbol(self, m: int, counts: np.ndarray, given: np.ndarray | None) -> np.ndarray:
         """Codes a symbol in lanes 0 .. m - 1; counts: how often each symbol is expected, a row for each lane."""
         low, whole = self.low[:m], self.range[:m]
-        ends = np.cumsum(counts, 1, dtype=np.int32)
+        n = counts.shape[1]
+        ends = counts.astype(np.float32) @ np.triu(np.ones((n, n), np.float32))  # running sums, all below 2**24
         whole //= ends[:, -1].astype(np.uint64)
         if given is None:
-            given = (ends <= np.minimum((self.code[:m] - low) // whole, 2**31 - 1).astype(np.int64)[:, None]).sum(1)
-            np.minimum(given, counts.shape[1] - 1, out=given)
-        lanes = np.arange(m)
-        size = counts[lanes, given]
-        low += whole * (ends[lanes, given] - size).astype(np.uint64)
-        whole *= size.astype(np.uint64)
+            given = (ends <= np.minimum((self.code[:m] - low) // whole, 2**23).astype(np.float32)[:, None]).sum(1)
+            np.minimum(given, n - 1, out=given)
+        at = np.arange(m) * n + given
+        size = counts.take(at).astype(np.uint64)
+        low += whole * (ends.take(at).astype(np.uint64) - size)
+        whole *= size
         self._shift(m)
         return given
 
@@ -129,31 +130,39 @@ def _code(sizes: list[int], class_bits: int, ids: list[np.ndarray] | None, data:
     table = np.zeros((most, lanes), np.int64)
     for k, x in enumerate(ids or []):
         table[: len(x), k] = x
-    of = np.arange(lanes)
-    # Four times the predicted id, plus how often it has held, up to 3.
-    next1, next2 = (np.zeros((lanes, n), np.int32 if class_bits == 4 else np.int64) for n in (_ORDER1, _ORDER2))
+    width = classes + 2
+    # Each lane's own tables, flat. Four times the predicted id, plus how often it has held, up to 3.
+    next1, next2 = (np.zeros(lanes * n, np.int32 if class_bits == 4 else np.int64) for n in (_ORDER1, _ORDER2))
+    base1, base2 = np.arange(lanes) * _ORDER1, np.arange(lanes) * _ORDER2
     # Symbols: the class of an id that isn't predicted, then a hit of order 1, then one of order 2.
-    alone, after, trusted = np.ones((lanes, classes + 2), np.uint16), np.zeros((lanes, classes, classes + 2), np.uint16), np.zeros((lanes, 16, classes + 2), np.uint16)
+    count = np.uint16 if most * 28 < 65000 else np.uint32
+    alone, after, trusted = np.ones((lanes, width), count), np.zeros((lanes * classes, width), count), np.zeros((lanes * 16, width), count)
+    flat_alone, flat_after, flat_trusted = alone.ravel(), after.ravel(), trusted.ravel()
+    base_alone, base_after, base_trusted = np.arange(lanes) * width, np.arange(lanes) * classes, np.arange(lanes) * 16
     slot1, slot2, kind = (np.zeros(lanes, np.int64) for _ in range(3))
     alive = np.searchsorted(-np.array(sizes), -np.arange(most), "left")  # lanes that have an id at each place
 
     for t in range(most):
         m = int(alive[t])
-        o, s1, s2, back = of[:m], slot1[:m], slot2[:m], kind[:m]
-        held1, held2 = next1[o, s1], next2[o, s2]
+        at1, at2 = base1[:m] + slot1[:m], base2[:m] + slot2[:m]
+        held1, held2 = next1.take(at1), next2.take(at2)
         said1, said2, trust1, trust2 = held1 >> 2, held2 >> 2, held1 & 3, held2 & 3
-        trust = trust2 * 4 + trust1
-        true = size = None
+        row_after, row_trusted = base_after[:m] + kind[:m], base_trusted[:m] + (trust2 * 4 + trust1)
+        true = None
         if ids is not None:
             true = table[t, :m]
             size = _class(true + 1)
             given = np.where(true == said2, classes + 1, np.where(true == said1, classes, size))
-        symbol = coder.symbol(m, alone[:m] + after[o, back] + trusted[o, trust], None if true is None else given)
-        alone[o, symbol] += 4
-        after[o, back, symbol] += 12
-        trusted[o, trust, symbol] += 12
-        bits = np.where(symbol < classes, symbol, 0)
-        rest = None if true is None else np.where(symbol < classes, true + 1 - (1 << bits), 0)
+        counts = after.take(row_after, 0)
+        counts += trusted.take(row_trusted, 0)
+        counts += alone[:m]
+        symbol = coder.symbol(m, counts, None if true is None else given)
+        flat_alone[base_alone[:m] + symbol] += 4
+        flat_after[row_after * width + symbol] += 12
+        flat_trusted[row_trusted * width + symbol] += 12
+        plain = symbol < classes
+        bits = symbol * plain
+        rest = None if true is None else (true + 1 - (1 << bits)) * plain
         if class_bits > 4:
             high = np.maximum(bits - 16, 0)
             top = coder.even(m, high, None if rest is None else rest >> 16)
@@ -161,20 +170,22 @@ def _code(sizes: list[int], class_bits: int, ids: list[np.ndarray] | None, data:
         else:
             rest = coder.even(m, bits, rest)
         if true is None:
-            true = np.where(symbol < classes, (1 << bits) + rest - 1, np.where(symbol == classes, said1, said2))
+            true = np.where(plain, (1 << bits) + rest - 1, np.where(symbol == classes, said1, said2))
             table[t, :m] = true
             size = _class(true + 1)
-        next1[o, s1] = true * 4 + np.where(said1 == true, np.minimum(trust1 + 1, 3), 0)
-        next2[o, s2] = true * 4 + np.where(said2 == true, np.minimum(trust2 + 1, 3), 0)
-        np.copyto(back, size)
-        mixed = true * 40503
-        np.copyto(s2, (mixed ^ s1 * 1973) >> 3 & _ORDER2 - 1)  # the slot of order 1 stands for the id before
-        np.copyto(s1, mixed >> 4 & _ORDER1 - 1)
+        next1[at1] = true * 4 + np.minimum(trust1 + 1, 3) * (said1 == true)
+        next2[at2] = true * 4 + np.minimum(trust2 + 1, 3) * (said2 == true)
+        kind[:m] = size
+        spread = true * 40503
+        slot2[:m] = (spread ^ slot1[:m] * 1973) >> 3 & _ORDER2 - 1  # the slot of order 1 stands for the id before
+        slot1[:m] = spread >> 4 & _ORDER1 - 1
     return coder.finished() if ids is not None else [table[:n, k] for k, n in enumerate(sizes)]
 
 
 def encode_blocks(blocks: list[np.ndarray], class_bits: int = 4) -> list[np.ndarray]:
-    """Payloads of blocks of ids; class_bits 4 for ids below 65535, 5 for those below 2**32 - 1."""
+    """Payloads of blocks of at most 2**18 ids; class_bits 4 for ids below 65535, 5 for those below 2**32 - 1."""
+    if max(map(len, blocks), default=0) > 1 << 18:
+        raise ValueError("a block has at most 2**18 ids")
     return _ordered(blocks, [len(x) for x in blocks], lambda some, sizes: _code(sizes, class_bits, some, None))
 
 
@@ -301,6 +312,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str =
             ready.append((first_doc, bytes(held), parts))
         if ready:
             yield flush()
+        ids.known = {}  # a worker that lives on should not hold a large table
 
     rows = texts(docs, id_col, text_col)
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -10,8 +10,8 @@ wide as a linked pair's alignment can stray.
 
 Equal texts are one text first, with the smallest id. In each bucket of candidates the
 text that shares most buckets with others leads and is compared with the rest; texts
-linked to it leave the bucket, and further rounds take new leaders (several at a time)
-until each bucket is used up. So a bucket of copies costs one comparison each, no pairs
+linked to it leave the bucket, and further rounds take new leaders (8, 16, 32 ... at a
+time) until each bucket is used up. So a bucket of copies costs one comparison each, no pairs
 of a group are emitted at once, and no candidate is dropped. Classes are the connected
 components of the links, by label spreading with the state written each time.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from millrace.llm.shared import ship, stored, texts
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, ROWS_OF_BAND = 32, 2
-#: Leaders of a bucket that are compared in one round after the first; shingles hashed at a time.
+#: Leaders of a bucket in the second round, each later one having twice as many; shingles hashed at a time.
 LEADERS, PART = 8, 1 << 15
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -144,21 +145,24 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) of ids, those that are similar enough. docs: (doc_id, text), one row for each id."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """(id, x) of (doc_id, text): the shingles as bytes."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "x"])
 
+    return docs.mapInArrow(run, "id long, x binary")
+
+
+def verified(pairs: DataFrame, x: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of ids, those that are similar enough. x: as hashed() gives, one row for each id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    x = docs.join(needed, "doc_id", "left_semi").mapInArrow(hashed, "id long, x binary")
-    x = stored(x, "shingles")
     left = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a")
     return left.join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
@@ -189,34 +193,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     members = stored(members.select("rep", "bucket").join(shared, "rep"), "members")
 
-    source = texts(docs, id_col, text_col)
-    same = reps.select("same", "rep")
-    by_rep = rows.select("doc_id", "same").join(same, "same").filter(F.col("doc_id") == F.col("rep")).select("doc_id").distinct()
-    source = source.join(by_rep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    source = rows.select("doc_id", "same").join(reps.select("same", "rep"), "same").filter(F.col("doc_id") == F.col("rep"))
+    source = source.join(members.select("rep").distinct(), "rep", "left_semi").select("doc_id").distinct()
+    x = stored(hashed(texts(docs, id_col, text_col).join(source, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingles")
 
-    links = tried = None
-    leaders = 1
-    while True:
+    links, tried, leaders = [], [], 1
+    while not members.isEmpty():
         front = stored(_leaders(members, leaders), "leaders")
         pairs = members.join(front, "bucket").filter(F.col("rep") != F.col("leader"))
         pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(verified(pairs, source, similarity), "found") if not pairs.isEmpty() else pairs.limit(0)
-        links = found if links is None else stored(links.union(found), "links")
-        tried = pairs if tried is None else stored(tried.union(pairs), "tried")
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tried.append(stored(pairs, "pairs"))
+        links.append(stored(verified(tried[-1], x, similarity), "found"))
         # The leaders and what is linked to one of them leave the bucket; buckets with one member are done.
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "rep", "b": "leader"})
+        found = reduce(DataFrame.union, links)
+        both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "rep", "b": "leader"})
         gone = members.join(front, "bucket").join(both, ["rep", "leader"], "left_semi").select("bucket", "rep")
         gone = gone.union(front.select("bucket", F.col("leader").alias("rep")))
         rest = members.join(gone, ["bucket", "rep"], "left_anti")
         several = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("bucket")
         members = stored(rest.join(several, "bucket", "left_semi"), "members")
-        if members.isEmpty():
-            break
-        leaders = LEADERS
+        leaders = max(LEADERS, 2 * leaders)
 
+    links = reduce(DataFrame.union, links) if links else members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     label = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = reps.select("same", "rep", "copies").join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")

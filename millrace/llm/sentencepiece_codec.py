@@ -28,6 +28,7 @@ import string
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from millrace.llm.shared import ship, texts
 
 MARK = "▁"
 #: Entries of the tables of stretches and of pairs, after which a table starts anew.
-KEPT = 400_000
+KEPT = 250_000
 
 
 class Codec:
@@ -73,8 +74,8 @@ class Codec:
         self.size = [len(p) for p in self.pieces]
         self.plain = [i not in self.byte_of for i in range(n)]
         self.surface = ["" if i in self.control else " ⁇ " if i == self.unknown else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.fits: dict[int, bool] = {}  # by left * 2**32 + right
+        self.known: dict[str, str] = {}
 
     def _pieces_of(self, ids: list[int]) -> str:
         return b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids).decode()
@@ -108,7 +109,7 @@ class Codec:
         """Left -1: right begins the stretch or follows a character without a piece; it must then be what its own text merges to."""
         if len(self.fits) >= KEPT:
             self.fits.clear()
-        ok = self.fits[left, right] = self.merge((self.pieces[left] if left >= 0 else "") + self.pieces[right]) == [x for x in (left, right) if x >= 0]
+        ok = self.fits[left << 32 | right] = self.merge((self.pieces[left] if left >= 0 else "") + self.pieces[right]) == [x for x in (left, right) if x >= 0]
         return ok
 
     def backtrack(self, text: str) -> list[int]:
@@ -136,7 +137,7 @@ class Codec:
                 i = there[left]
                 if failed and failed >> at + size_of[i] & 1:
                     continue
-                if (ok := fits.get((last, i))) is None:
+                if (ok := fits.get(last << 32 | i)) is None:
                     ok = compatible(last, i)
                 if ok:
                     taken.append((at, i, left))
@@ -152,21 +153,29 @@ class Codec:
     def stretch(self, text: str) -> list[int]:
         return self.merge(text) if text.startswith(MARK * 2) else self.backtrack(text)
 
-    def _entry(self, text: str) -> tuple[str, int, str]:
+    def _entry(self, text: str) -> str:
+        """The ids of a stretch, joined by commas."""
         if (e := self.known.get(text)) is None:
+            ids = self.stretch(text)
+            e = ",".join(map(str, ids))
+            if self._surface(ids) != text.replace(MARK, " "):
+                raise AssertionError(f"{text!r} is not what its ids {e} decode to")
             if len(self.known) >= KEPT:
                 self.known.clear()
-            ids = self.stretch(text)
-            e = ",".join(map(str, ids)), len(ids), self._surface(ids)
             if len(text) <= 64:
                 self.known[text] = e
         return e
 
+    def forget(self) -> None:
+        """At the end of a partition: a worker that lives on should not hold large tables."""
+        if len(self.known) > 20_000:
+            self.known, self.fits = {}, {}
+
     def _cut(self, text: str) -> list[str]:
         return self.stretches.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for part in self._cut(text) for x in self._entry(part)[0].split(",")]
+        return [int(x) for part in self._cut(text) for x in self._entry(part).split(",")]
 
     def _surface(self, ids: list[int]) -> str:
         """Text of ids, the leading space included; bytes that aren't UTF-8 become one U+FFFD each."""
@@ -191,10 +200,11 @@ class Codec:
         return text[1:] if first != self.unknown and self.pieces[first].startswith(MARK) else text
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text), stretch by stretch."""
+        """(number of ids, ids joined by commas, decoded text). Each stretch was decoded when it was first encoded, and only marks become spaces."""
         known, entry = self.known, self._entry
-        parts = [known.get(x) or entry(x) for x in self._cut(text)]
-        return sum(x[1] for x in parts), ",".join([x[0] for x in parts]), "".join([x[2] for x in parts])[1:]
+        parts = self._cut(text)
+        ids = ",".join([known.get(x) or entry(x) for x in parts])
+        return ids.count(",") + 1 if ids else 0, ids, "".join(parts).replace(MARK, " ")[1:]
 
 
 def _utf8(data: bytes) -> str:
@@ -230,6 +240,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             ids = [c.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        c.forget()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -246,6 +257,7 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == t))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+        c.forget()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
@@ -255,9 +267,11 @@ def with_ids(docs: DataFrame, path: str, text_col: str = "text", ids_col: str =
     ship(docs.sparkSession)
     names = [c for c in docs.columns if c != ids_col]
 
-    @F.pandas_udf("array<int>")
-    def ids(t):  # noqa: ANN001, ANN202
+    def all_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
-        return t.map(lambda x: c.encode(x or ""))
+        for t in batches:
+            yield t.map(lambda x: c.encode(x or ""))
+        c.forget()
 
+    ids = F.pandas_udf(all_ids, "array<int>")
     return docs.select(*names, ids(F.coalesce(docs[text_col], F.lit(""))).alias(ids_col))

@@ -2,7 +2,7 @@
 
 A document is its sequence of word shingles (five lower-cased words), each labelled
 with how often it occurred before. Each of `ROWS` hash functions picks the two labelled
-shingles with the smallest hashes and keeps them in text order; two such rows make a
+shingles with the smallest hashes and keeps them in text order; three such rows make a
 band, and texts that share a band are candidates. Candidates are verified by banded
 alignment of their shingle sequences: with m shingles aligned in order, the similarity
 is m / (n1 + n2 - m), and a pair at or above the threshold is a link. The band is as
@@ -19,7 +19,8 @@ Only keys and numbers are shuffled, and the shingle hashes of compared texts. De
 results: a null or empty text, or one of blanks, has no shingles; equal ones form one
 class. Fewer than five words are one shingle. Rows that repeat an id share its class if
 their texts are equal. The class id is the smallest doc_id of the class, and that
-document stays; null ids sort last. An empty table gives an empty result.
+document stays; null ids sort last. keep_one() knows a row by its id and text, so rows that share an id only
+are decided apart. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from millrace.llm.fingerprints import MULTIPLIER, Stretches, mixed
 from millrace.llm.shared import ship, stored, texts
 
 WORDS, SIMILARITY = 5, 0.8
-ROWS, ROWS_OF_BAND = 32, 2
+ROWS, ROWS_OF_BAND = 96, 3
 #: Leaders of a bucket in the second round, each later one having twice as many; shingles hashed at a time.
 LEADERS, PART = 8, 1 << 15
 
@@ -131,18 +132,18 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, keys) for each row: a 128-bit hash of the text, equal for equal texts, and the keys of its bands."""
+    """(doc_id, of, same, keys) for each row: hashes of the text of 64 and of 128 bits (the latter equal for all blank texts), and the keys of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same, keys = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 x = shingles(t)
                 same.append(hashlib.blake2b(t.encode() if len(x) else b"", digest_size=16).digest())
                 keys.append(bands(x).view(np.int64) if len(x) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "of", "same", "keys"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, keys array<long>")
+    return texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("of"), "text").mapInArrow(run, "doc_id long, of long, same binary, keys array<long>")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -183,6 +184,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size, n_links, kept) for each row. n_links: how many links its text has that were looked at; classes need no more."""
+    return _classes(docs, id_col, text_col, similarity).drop("of")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """near_duplicates() with the hash of each text."""
     ship(docs.sparkSession)
     rows = stored(sketches(docs, id_col, text_col), "sketches")
     one = rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
@@ -223,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = stored(known.select("same", F.coalesce("label", "rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "classes")
     sizes = known.groupBy(F.col("class_id").alias("_of")).agg(F.sum("copies").alias("class_size"))
     known = known.join(sizes, F.col("class_id").eqNullSafe(F.col("_of"))).select("same", "class_id", "class_size", "n_links")
-    return rows.select("doc_id", "same").join(known, "same").select("doc_id", "class_id", "class_size", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    return rows.select("doc_id", "of", "same").join(known, "same").select("doc_id", "of", "class_id", "class_size", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 
 def _leaders(members: DataFrame, n: int) -> DataFrame:
@@ -236,5 +242,6 @@ def _leaders(members: DataFrame, n: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Rows of docs without those whose class keeps another document; the columns stay."""
-    gone = near_duplicates(docs, id_col, text_col, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = _classes(docs, id_col, text_col, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("of").alias("_of")).distinct()
+    of = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone["_gone"]) & (of == gone["_of"]), "left_anti")

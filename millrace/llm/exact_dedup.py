@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import texts
+from millrace.llm.shared import split_join, texts
 
 #: Characters that the second stage hashes.
 PREFIX = 64
@@ -40,13 +40,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     several = F.col("n") > 1
     sizes = rows.select(size).groupBy("size").agg(F.count("*").alias("n")).filter(several).select("size")
-    fronts = rows.select(size, front).join(sizes, "size", "left_semi").groupBy("front").agg(F.count("*").alias("n")).filter(several).select("front")
+    fronts = split_join(rows.select(size, front), sizes, ["size"], "left_semi").groupBy("front").agg(F.count("*").alias("n")).filter(several).select("front")
     groups = (
-        rows.select("doc_id", front, whole).join(fronts, "front", "left_semi")
+        split_join(rows.select("doc_id", front, whole), fronts, ["front"], "left_semi")
         .groupBy("text_sha256").agg(F.max("doc_id").alias("most"), F.count("*").alias("n")).filter(several)
     )
     return (
-        rows.select("doc_id", whole).join(groups, "text_sha256", "left")
+        split_join(rows.select("doc_id", whole), groups, ["text_sha256"], "left")
         .select(
             "doc_id",
             F.coalesce("most", "doc_id").alias("keep_id"),

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.prefix_doubling import double, first_names
-from millrace.llm.shared import stored
+from millrace.llm.shared import split_join, stored
 
 MIN_LINES, MIN_WORDS = 2, 20
 KEY = ["_doc", "_of"]
@@ -72,7 +72,7 @@ def _later(places: DataFrame, length: int) -> DataFrame:
     """(key, at) of all lines in windows whose name an earlier place has."""
     where = F.struct(*KEY, "at")
     first = places.groupBy("name").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).select("name", "first")
-    later = places.join(first, "name").filter(where > F.col("first"))
+    later = split_join(places, first, ["name"]).filter(where > F.col("first"))
     return later.select(*KEY, F.explode(F.sequence("at", F.col("at") + length - 1)).alias("at")) if length > 1 else later.select(*KEY, "at")
 
 

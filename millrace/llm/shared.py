@@ -18,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Rows that a Python worker gets at a time, unless the session says otherwise: texts may be long.
+BATCH_ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once for each application, so that their Python finds it wherever it is installed."""
+    """Sends the package to the executors once for each application, so that their Python finds it wherever it is installed, and bounds what a worker holds."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         root = Path(__file__).parents[2]
@@ -37,6 +41,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of rows with an aggregate over the same keys. A further key, their hash, makes Spark deal both sides anew, and adaptive execution can then split the rows of a hot key; it can't where the aggregate's own exchange is used."""
+    again = F.xxhash64(*keys)
+    return rows.withColumn("_again", again).join(groups.withColumn("_again", again), [*keys, "_again"], how).drop("_again")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; only a local session without the setting gets one of its own."""
     sc = spark.sparkContext
@@ -54,11 +64,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read from there: cuts lineage, and no executor's loss makes it run again."""
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     del df
     gc.collect()  # Spark deletes shuffle files once nothing refers to the plan that made them
     spark.sparkContext._jvm.System.gc()

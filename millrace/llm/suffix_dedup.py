@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.fingerprints import MULTIPLIER, Stretches, mixed
-from millrace.llm.shared import release, stored, texts
+from millrace.llm.shared import release, split_join, stored, texts
 
 LENGTH = 400
 #: Places that an anchor is chosen from, bytes that are hashed for that, starts of a block.
@@ -107,7 +107,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     rows = stored(source.mapInArrow(sample, "doc_id long, _of long, place long, near int, far int, core long, stretch long"), "anchors")
     cores = rows.groupBy("core").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("core")
-    left = stored(rows.join(cores, "core", "left_semi"), "anchors")
+    left = stored(split_join(rows, cores, ["core"], "left_semi"), "anchors")
     release(rows)
 
     one = F.struct(*key, "place", "near", "far")

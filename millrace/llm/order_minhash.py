@@ -11,9 +11,11 @@ wide as a linked pair's alignment can stray.
 Equal texts are one text first, with the smallest id. In each bucket of candidates the
 text that shares most buckets with others leads and is compared with the rest; texts
 linked to it leave the bucket, and further rounds take new leaders (8, 16, 32 ... at a
-time) until each bucket is used up. So a bucket of copies costs one comparison each, no pairs
-of a group are emitted at once, and no candidate is dropped. Classes are the connected
-components of the links, by label spreading with the state written each time.
+time) until each bucket is used up. Then those that left by a link are compared with all of
+their bucket that are in another class by then. So a bucket of copies costs one comparison each,
+and a candidate pair is left out only if the two are in one class already, or if their numbers of
+shingles alone rule a link out. Classes are the connected components of the links, by label
+spreading with the state written each time.
 
 Only keys and numbers are shuffled, and the shingle hashes of compared texts. Defined
 results: a null or empty text, or one of blanks, has no shingles; equal ones form one
@@ -132,18 +134,19 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, of, same, keys) for each row: hashes of the text of 64 and of 128 bits (the latter equal for all blank texts), and the keys of its bands."""
+    """(doc_id, of, same, size, keys) for each row: hashes of the text of 64 and of 128 bits (the latter equal for all blank texts), its number of shingles, and the keys of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, keys = [], []
+            same, size, keys = [], [], []
             for t in b.column(2).to_pylist():
                 x = shingles(t)
                 same.append(hashlib.blake2b(t.encode() if len(x) else b"", digest_size=16).digest())
+                size.append(len(x))
                 keys.append(bands(x).view(np.int64) if len(x) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "of", "same", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "of", "same", "size", "keys"])
 
-    return texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("of"), "text").mapInArrow(run, "doc_id long, of long, same binary, keys array<long>")
+    return texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("of"), "text").mapInArrow(run, "doc_id long, of long, same binary, size long, keys array<long>")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -191,22 +194,24 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     """near_duplicates() with the hash of each text."""
     ship(docs.sparkSession)
     rows = stored(sketches(docs, id_col, text_col), "sketches")
-    one = rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
+    one = rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
     reps = stored(one, "texts")
-    spread = reps.filter(F.col("rep").isNotNull()).select("rep", F.posexplode("keys").alias("band", "key"))
+    spread = reps.filter(F.col("rep").isNotNull()).select("rep", "size", F.posexplode("keys").alias("band", "key"))
     sizes = spread.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    members = stored(spread.join(sizes, ["band", "key"]).select("rep", F.xxhash64("band", "key").alias("bucket"), "n"), "members")
+    members = stored(spread.join(sizes, ["band", "key"]).select("rep", "size", F.xxhash64("band", "key").alias("bucket"), "n"), "members")
     shared = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = stored(members.select("rep", "bucket").join(shared, "rep"), "members")
+    everyone = members = stored(members.select("rep", "size", "bucket").join(shared, "rep"), "members")
 
     source = rows.select("doc_id", "same").join(reps.select("same", "rep"), "same").filter(F.col("doc_id") == F.col("rep"))
     source = source.join(members.select("rep").distinct(), "rep", "left_semi").select("doc_id").distinct()
     x = stored(hashed(texts(docs, id_col, text_col).join(source, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingles")
 
-    links, tried, leaders = [], [], 1
+    # Of m aligned shingles no pair has more than the shorter text, so the similarity is at most the ratio of the sizes.
+    alike = (F.col("rep") != F.col("leader")) & (F.least("size", "leader_size") / F.greatest("size", "leader_size") >= similarity)
+    links, tried, left, leaders = [], [], [], 1
     while not members.isEmpty():
         front = stored(_leaders(members, leaders), "leaders")
-        pairs = members.join(front, "bucket").filter(F.col("rep") != F.col("leader"))
+        pairs = members.join(front, "bucket").filter(alike)
         pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -215,15 +220,32 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         # The leaders and what is linked to one of them leave the bucket; buckets with one member are done.
         found = reduce(DataFrame.union, links)
         both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "rep", "b": "leader"})
-        gone = members.join(front, "bucket").join(both, ["rep", "leader"], "left_semi").select("bucket", "rep")
-        gone = gone.union(front.select("bucket", F.col("leader").alias("rep")))
+        left.append(stored(members.join(front, "bucket").filter(alike).join(both, ["rep", "leader"], "left_semi").select("bucket", "rep", "size").distinct(), "left"))
+        gone = left[-1].select("bucket", "rep").union(front.select("bucket", F.col("leader").alias("rep")))
         rest = members.join(gone, ["bucket", "rep"], "left_anti")
         several = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("bucket")
         members = stored(rest.join(several, "bucket", "left_semi"), "members")
         leaders = max(LEADERS, 2 * leaders)
 
-    links = reduce(DataFrame.union, links) if links else members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    label = components(links)
+    if not links:
+        links.append(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    label = components(reduce(DataFrame.union, links))
+    if left:
+        # Leaders met all that was there. What left by a link has yet to meet those of its bucket that are in another class.
+        left = reduce(DataFrame.union, left).join(label.select(F.col("id").alias("rep"), "label"), "rep")
+        class_of = F.coalesce("label", "rep")
+        all_ = everyone.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", F.col("rep").alias("leader"), F.col("size").alias("leader_size"), class_of.alias("leader_label"))
+        several = all_.groupBy("bucket").agg(F.min("leader_label").alias("low"), F.max("leader_label").alias("high")).filter(F.col("low") < F.col("high")).select("bucket")
+        all_ = stored(all_.join(several, "bucket", "left_semi"), "mixed")
+        pairs = left.join(all_, "bucket").filter(alike & (F.col("label") != F.col("leader_label")))
+        pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        found = stored(verified(stored(pairs, "pairs"), x, similarity), "found")
+        if not found.isEmpty():
+            links.append(found)
+            label = components(reduce(DataFrame.union, links))
+    links = reduce(DataFrame.union, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = reps.select("same", "rep", "copies").join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     known = stored(known.select("same", F.coalesce("label", "rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "classes")
@@ -233,11 +255,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
 
 
 def _leaders(members: DataFrame, n: int) -> DataFrame:
-    """(bucket, leader): the n members of each bucket that share most buckets, the smallest ids among equals."""
+    """(bucket, leader, leader_size): the n members of each bucket that share most buckets, the smallest ids among equals."""
     order = [F.desc("weight"), "rep"]
     if n == 1:
-        return members.groupBy("bucket").agg(F.min_by("rep", F.struct((-F.col("weight")).alias("w"), "rep")).alias("leader"))
-    return members.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("nth") <= n).select("bucket", F.col("rep").alias("leader"))
+        return members.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "rep", "size")).alias("s")).select("bucket", F.col("s.rep").alias("leader"), F.col("s.size").alias("leader_size"))
+    return members.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("nth") <= n).select("bucket", F.col("rep").alias("leader"), F.col("size").alias("leader_size"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

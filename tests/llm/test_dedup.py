@@ -167,6 +167,22 @@ def test_near_duplicates(spark):
     assert all(got[i].kept == (root[i] == i) and got[i].class_size == root.count(root[i]) for i in got)
 
 
+def test_chains_in_a_hot_bucket_are_followed(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "bands", lambda x: np.zeros(1, np.uint64))  # one bucket
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for n in (3, 4, 9, 1):  # neighbours are linked, others aren't
+        chain = [[word() for _ in range(150)]]
+        for k in range(1, n):
+            chain.append([w if i % 75 != 7 * k else word() for i, w in enumerate(chain[-1])])
+        texts.append(list(map(" ".join, chain)))
+    x = [order_minhash.shingles(t) for t in texts[0]]
+    assert [order_minhash.aligned(x[a], x[b]) >= 0.8 for a, b in ((0, 1), (1, 2), (0, 2))] == [True, True, False]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, sum(texts, []))).collect()}
+    assert [got[i] for i in range(17)] == [0] * 3 + [3] * 4 + [7] * 9 + [16]
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(1, "a b c", None, 1), (1, "a b c", None, 1), (None, "a b c", None, 1), (None, "q r s", None, 1)], SCHEMA)
     got = sorted((str(r.doc_id), str(r.class_id), r.class_size, r.kept) for r in order_minhash.near_duplicates(df).collect())

@@ -127,6 +127,25 @@ def test_best_run():
     assert decontamination.overlap(a, b) == (7, 1, 9) or decontamination.overlap(a, b)[0] >= 4
 
 
+@pytest.mark.parametrize(("n", "replaced"), [(15, [5, 10]), (20, [5, 10, 15]), (59, range(4, 59, 5)), (16, [4, 9, 14])])
+def test_items_with_words_replaced_close_together(n, replaced):
+    item = [f"w{k}" for k in range(n)]
+    text = ["z" if k in replaced else w for k, w in enumerate(item)]
+    found = decontamination.Items([(7, " ".join(item))]).hits(" ".join(["x", "y", *text, "x"]))
+    left = [k for k in range(n) if k not in replaced]
+    assert found == [(7, len(left), 2 + left[0], 3 + left[-1])]
+
+
+def test_best_run_equals_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        equal = rng.random(rng.integers(1, 40)) < rng.choice([0.3, 0.8, 0.9])
+        sums = [(int(equal[i:j].sum()), j - i) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1)]
+        most = max((e for e, n in sums if 5 * e >= 4 * n), default=0)
+        got, first, end = decontamination.overlap(np.zeros(len(equal)), np.where(equal, 0, 1))
+        assert got == most == int(equal[first:end].sum()) and 5 * got >= 4 * (end - first)
+
+
 @pytest.mark.parametrize(
     ("url", "canonical"),
     [

@@ -39,6 +39,21 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == {r.doc_id for r in docs.collect()}
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "asdf qwer jkl zxcv hjkl uiop asdfgh " * 20,
+]
+
+
+def test_foreign_latin_text_goes(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    foreign = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(foreign), DATA)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_rows(spark, stage):
     """Nulls, repeated rows, ties, extra columns and no rows at all."""

@@ -1,9 +1,10 @@
 """Deduplication of runs of lines, in DataFrame operations only.
 
 A document is the sequence of ids of its lines that aren't blank. Names for windows of
-1, 2, 4 ... lines come from prefix doubling over all documents (prefix_doubling), the
-order of a suffix array over those sequences. Suffixes of one name at the least length
-form a longest-common-prefix interval: repeats of that many lines or more. The copy
+1, 2, 4 ... lines come from prefix doubling over all documents (prefix_doubling), up to
+`min_lines` and no further: no suffix array and no LCP values are computed. Suffixes of one
+name at that length are those of a longest-common-prefix interval: repeats of that many
+lines or more. The copy
 with the smallest (id, line) stays, the windows of later ones are deleted; windows that
 overlap or adjoin make up the maximal runs. A single line counts as a run from
 `min_words` words on.

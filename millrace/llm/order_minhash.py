@@ -8,41 +8,54 @@ alignment of their shingle sequences: with m shingles aligned in order, the simi
 is m / (n1 + n2 - m), and a pair at or above the threshold is a link. The band is as
 wide as a linked pair's alignment can stray.
 
-Equal texts are one text first, with the smallest id. In each bucket of candidates the
-text that shares most buckets with others leads and is compared with the rest; texts
-linked to it leave the bucket, and further rounds take new leaders (8, 16, 32 ... at a
-time) until each bucket is used up. Then those that left by a link are compared with all of
-their bucket that are in another class by then. So a bucket of copies costs one comparison each,
-and a candidate pair is left out only if the two are in one class already, or if their numbers of
-shingles alone rule a link out. Classes are the connected components of the links, by label
-spreading with the state written each time.
+Equal texts are one text first, known by a 128-bit hash. In each bucket of candidates the
+text that shares most buckets with others leads and is compared with the rest. What is in
+one class after that needs no further comparison. In buckets that still hold several
+classes, up to `FEW` texts are compared with one another. Larger ones are refined, so that no
+bucket is ever paired off whole: of all texts that such buckets connect, the one that
+shares most buckets, L, is aligned with each other text once. If x is not similar to L but y is similar to x,
+then x and y share a shingle that L lacks, or if y is shorter than L, both may only lack one
+that L has: else y would be as far from x as L is. More exactly, with c = (1 - similarity) /
+(1 + similarity), |x - L| + |L - x| + |y| - |L| - c (|x| + |y|) is at most twice the number of
+shared shingles that L lacks, where |y| is |L| or, for shorter texts, similarity * |x| at least;
+so one of the shared ones is among all but that many, less one, of x's, in order of their
+hashes. Where this says nothing of shorter texts, the same holds for what both lack. These
+shingles make the buckets of the next level, where texts similar to L come with all that sets
+them apart from L. A candidate pair is left out only if it is in one class already, or if the
+numbers of shingles or the above rule a link out. (The above is about sets. A text whose set
+is similar to L's, but not its order, comes with all that sets it apart; where that is nothing,
+it meets no more texts.)
+Classes are the connected components of the links, by label spreading with the state written
+each time.
 
 Only keys and numbers are shuffled, and the shingle hashes of compared texts. Defined
 results: a null or empty text, or one of blanks, has no shingles; equal ones form one
-class. Fewer than five words are one shingle. Rows that repeat an id share its class if
-their texts are equal. The class id is the smallest doc_id of the class, and that
-document stays; null ids sort last. keep_one() knows a row by its id and text, so rows that share an id only
-are decided apart. An empty table gives an empty result.
+class. Fewer than five words are one shingle. Rows that repeat an id are decided by their
+texts, and rows that repeat both share a decision. The class id is the smallest doc_id of the
+class, and that document stays (of several texts with that id, the one whose hash is smallest);
+null ids sort last, and are a class's id if it has no other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.fingerprints import MULTIPLIER, Stretches, mixed
-from millrace.llm.shared import ship, stored, texts
+from millrace.llm.shared import ship, split_join, stored, texts
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, ROWS_OF_BAND = 96, 3
-#: Leaders of a bucket in the second round, each later one having twice as many; shingles hashed at a time.
-LEADERS, PART = 8, 1 << 15
+#: Texts of a bucket that are compared with one another at most, larger ones being refined; shingles hashed at a time.
+FEW, PART = 32, 1 << 15
+
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """A 64-bit hash of each shingle, in order. Words are separated by ASCII white space."""
@@ -133,6 +146,10 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return m / (total - m)
 
 
+def _name(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, of, same, size, keys) for each row: hashes of the text of 64 and of 128 bits (the latter equal for all blank texts), its number of shingles, and the keys of its bands."""
 
@@ -141,7 +158,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             same, size, keys = [], [], []
             for t in b.column(2).to_pylist():
                 x = shingles(t)
-                same.append(hashlib.blake2b(t.encode() if len(x) else b"", digest_size=16).digest())
+                same.append(_name(t if len(x) else ""))
                 size.append(len(x))
                 keys.append(bands(x).view(np.int64) if len(x) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "of", "same", "size", "keys"])
@@ -150,36 +167,64 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(id, x) of (doc_id, text): the shingles as bytes."""
+    """(id, x) of (text): the text's hash as in sketches(), and its shingles as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "x"])
+            texts_ = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in texts_], pa.binary()), pa.array([shingles(t).tobytes() for t in texts_], pa.binary())], ["id", "x"])
 
-    return docs.mapInArrow(run, "id long, x binary")
+    return docs.select("text").mapInArrow(run, "id binary, x binary")
 
 
 def verified(pairs: DataFrame, x: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) of ids, those that are similar enough. x: as hashed() gives, one row for each id."""
+    """Of pairs (a, b) of texts, those that are similar enough. x: as hashed() gives, one row for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
+            ok = pa.array([aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     left = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a")
-    return left.join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+    return left.join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a binary, b binary")
+
+
+def beyond(x: np.ndarray, leader: np.ndarray, least: float) -> tuple[bool, bool, np.ndarray, np.ndarray]:
+    """Whether a text is similar to its leader, whether it is shorter, and what it must share with similar texts (see above): labelled shingles that the leader lacks, and those of the leader that it lacks itself."""
+    a, b = np.sort(labelled(x)), np.sort(labelled(leader))
+    added, lost = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+    c, off = (1 - least) / (1 + least), len(added) + len(lost)
+    ok, short = aligned(x, leader, least) >= least, len(a) < len(b)
+    if ok:
+        return ok, short, added, lost[: None if short else 0]
+    longer = max(1, math.ceil((off - c * (len(a) + len(b))) / 2 - 1e-9))
+    shorter = math.ceil((off - len(b) - c * len(a) + (1 - c) * least * len(a)) / 2 - 1e-9)
+    lost = lost[: max(0, len(lost) - longer + 1) if shorter < 1 else 0]
+    return ok, short, added[: max(0, len(added) - min(longer, shorter if shorter > 0 else longer) + 1)], lost
+
+
+def refined(rows: DataFrame, x: DataFrame, least: float) -> DataFrame:
+    """(comp, id, leader, ok, short, added, lost) of rows (comp, id, leader): see beyond()."""
+    names = ["comp", "id", "leader", "ok", "short", "added", "lost"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [beyond(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([f[k] for f in found], pa.bool_()) for k in (0, 1)), *(pa.array([f[k].view(np.int64) for f in found], pa.list_(pa.int64())) for k in (2, 3))], names)
+
+    left = rows.join(x, "id").join(x.select(F.col("id").alias("leader"), F.col("x").alias("y")), "leader")
+    return left.select("comp", "id", "leader", "x", "y").mapInArrow(run, "comp binary, id binary, leader binary, ok boolean, short boolean, added array<long>, lost array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) for each id in links (a, b): the smallest id that it is connected with."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "id"), "labels")
+    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "id"), "labels", tidy=False)
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "near").alias("next"))
         hop = labels.select(F.col("id").alias("next"), F.col("label").alias("further"))
-        step = stored(step.join(hop, "next", "left").select("id", "label", F.least("next", F.coalesce("further", "next")).alias("next")), "labels")
+        step = stored(step.join(hop, "next", "left").select("id", "label", F.least("next", F.coalesce("further", "next")).alias("next")), "labels", tidy=False)
         labels = step.select("id", F.col("next").alias("label"))
         if step.filter(F.col("next") != F.col("label")).isEmpty():
             return labels
@@ -194,72 +239,72 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     """near_duplicates() with the hash of each text."""
     ship(docs.sparkSession)
     rows = stored(sketches(docs, id_col, text_col), "sketches")
-    one = rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+    one = rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.min(F.struct("doc_id", "of")).alias("one"))
     reps = stored(one, "texts")
-    spread = reps.filter(F.col("rep").isNotNull()).select("rep", "size", F.posexplode("keys").alias("band", "key"))
-    sizes = spread.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    members = stored(spread.join(sizes, ["band", "key"]).select("rep", "size", F.xxhash64("band", "key").alias("bucket"), "n"), "members")
-    shared = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    everyone = members = stored(members.select("rep", "size", "bucket").join(shared, "rep"), "members")
-
-    source = rows.select("doc_id", "same").join(reps.select("same", "rep"), "same").filter(F.col("doc_id") == F.col("rep"))
-    source = source.join(members.select("rep").distinct(), "rep", "left_semi").select("doc_id").distinct()
-    x = stored(hashed(texts(docs, id_col, text_col).join(source, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingles")
-
-    # Of m aligned shingles no pair has more than the shorter text, so the similarity is at most the ratio of the sizes.
-    alike = (F.col("rep") != F.col("leader")) & (F.least("size", "leader_size") / F.greatest("size", "leader_size") >= similarity)
-    links, tried, left, leaders = [], [], [], 1
+    spread = reps.select(F.col("same").alias("id"), "size", F.posexplode("keys").alias("band", "key"))
+    members = _open(spread.select("id", "size", F.xxhash64("band", "key").alias("bucket"), F.lit(True).alias("live")), None)
+
+    wanted = reps.select(F.col("same").alias("id"), "one.doc_id", "one.of").join(members.select("id").distinct(), "id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("of").alias("_of")).distinct()
+    source = texts(docs, id_col, text_col).withColumn("of", F.xxhash64("text"))
+    x = stored(hashed(source.join(wanted, source.doc_id.eqNullSafe(wanted["_id"]) & (source.of == wanted["_of"]), "left_semi")).dropDuplicates(["id"]), "shingles")
+
+    links: list[DataFrame] = []
+    label = None
     while not members.isEmpty():
-        front = stored(_leaders(members, leaders), "leaders")
-        pairs = members.join(front, "bucket").filter(alike)
-        pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        for old in tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        tried.append(stored(pairs, "pairs"))
-        links.append(stored(verified(tried[-1], x, similarity), "found"))
-        # The leaders and what is linked to one of them leave the bucket; buckets with one member are done.
-        found = reduce(DataFrame.union, links)
-        both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "rep", "b": "leader"})
-        left.append(stored(members.join(front, "bucket").filter(alike).join(both, ["rep", "leader"], "left_semi").select("bucket", "rep", "size").distinct(), "left"))
-        gone = left[-1].select("bucket", "rep").union(front.select("bucket", F.col("leader").alias("rep")))
-        rest = members.join(gone, ["bucket", "rep"], "left_anti")
-        several = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("bucket")
-        members = stored(rest.join(several, "bucket", "left_semi"), "members")
-        leaders = max(LEADERS, 2 * leaders)
-
-    if not links:
-        links.append(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    label = components(reduce(DataFrame.union, links))
-    if left:
-        # Leaders met all that was there. What left by a link has yet to meet those of its bucket that are in another class.
-        left = reduce(DataFrame.union, left).join(label.select(F.col("id").alias("rep"), "label"), "rep")
-        class_of = F.coalesce("label", "rep")
-        all_ = everyone.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", F.col("rep").alias("leader"), F.col("size").alias("leader_size"), class_of.alias("leader_label"))
-        several = all_.groupBy("bucket").agg(F.min("leader_label").alias("low"), F.max("leader_label").alias("high")).filter(F.col("low") < F.col("high")).select("bucket")
-        all_ = stored(all_.join(several, "bucket", "left_semi"), "mixed")
-        pairs = left.join(all_, "bucket").filter(alike & (F.col("label") != F.col("leader_label")))
-        pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        for old in tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        found = stored(verified(stored(pairs, "pairs"), x, similarity), "found")
-        if not found.isEmpty():
-            links.append(found)
+        front = stored(members.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "size", "label")).alias("s")).select("bucket", *(F.col(f"s.{c}").alias(f"_{c}") for c in ("id", "size", "label"))), "leaders", tidy=False)
+        links.append(stored(verified(_pairs(members, front, similarity), x, similarity), "found", tidy=False))
+        label = components(reduce(DataFrame.union, links))
+        # Leaders have met all of their bucket. The others may have classes apart still.
+        rest = members.join(front.select("bucket", F.col("_id").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "size", "weight", F.lit(True).alias("live"))
+        rest = _open(rest, label)
+        if rest.isEmpty():
+            break
+        few = rest.filter(F.col("n") <= FEW)
+        links.append(stored(verified(_pairs(few, few.select("bucket", *(F.col(c).alias(f"_{c}") for c in ("id", "size", "label"))), similarity, F.col("id") < F.col("_id")), x, similarity), "found", tidy=False))
+        many = stored(rest.filter(F.col("n") > FEW).select("bucket", "id", "size", "weight"), "many")
+        if many.isEmpty():
             label = components(reduce(DataFrame.union, links))
-    links = reduce(DataFrame.union, links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    known = reps.select("same", "rep", "copies").join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    known = stored(known.select("same", F.coalesce("label", "rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "classes")
-    sizes = known.groupBy(F.col("class_id").alias("_of")).agg(F.sum("copies").alias("class_size"))
-    known = known.join(sizes, F.col("class_id").eqNullSafe(F.col("_of"))).select("same", "class_id", "class_size", "n_links")
-    return rows.select("doc_id", "of", "same").join(known, "same").select("doc_id", "of", "class_id", "class_size", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
-
-
-def _leaders(members: DataFrame, n: int) -> DataFrame:
-    """(bucket, leader, leader_size): the n members of each bucket that share most buckets, the smallest ids among equals."""
-    order = [F.desc("weight"), "rep"]
-    if n == 1:
-        return members.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "rep", "size")).alias("s")).select("bucket", F.col("s.rep").alias("leader"), F.col("s.size").alias("leader_size"))
-    return members.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("nth") <= n).select("bucket", F.col("rep").alias("leader"), F.col("size").alias("leader_size"))
+            break
+        hub = many.groupBy("bucket").agg(F.min("id").alias("a"))
+        comp = components(split_join(many.select("bucket", "id"), hub, ["bucket"]).select("a", F.col("id").alias("b")).distinct())
+        sized = stored(many.select("id", "size", "weight").distinct().join(comp.withColumnRenamed("label", "comp"), "id"), "sized", tidy=False)
+        central = stored(sized.groupBy("comp").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("s")).select("comp", F.col("s.id").alias("leader")), "leaders", tidy=False)
+        fine = stored(refined(sized.join(central, "comp").filter(F.col("id") != F.col("leader")).select("comp", "id", "leader"), x, similarity), "refined", tidy=False)
+        links.append(fine.filter("ok").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
+        label = components(reduce(DataFrame.union, links))
+        sides = F.explode(F.array(F.struct(F.lit(False).alias("lost"), F.col("added").alias("e")), F.struct(F.lit(True).alias("lost"), F.col("lost").alias("e"))))
+        spread = fine.select("comp", "id", "short", sides.alias("s")).select("comp", "id", "short", "s.lost", F.explode("s.e").alias("e")).join(sized.select("id", "size", "weight"), "id")
+        # What texts lack counts where one of them is shorter than the leader.
+        members = _open(spread.select("id", "size", "weight", F.xxhash64("comp", "lost", "e").alias("bucket"), (F.col("short") | ~F.col("lost")).alias("live")), label)
+
+    if label is None:
+        label = members.select("id", F.col("id").alias("label"))
+        links.append(members.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    degree = reduce(DataFrame.union, links).distinct().select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("n_links"))
+    known = reps.select("same", "rep", "copies").join(label.withColumnRenamed("id", "same"), "same", "left").join(degree, "same", "left")
+    known = stored(known.select("same", "rep", F.coalesce("label", "same").alias("label"), "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "classes")
+    chosen = known.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "same")).alias("s"))
+    known = split_join(known, chosen, ["label"]).select("same", F.col("s.rep").alias("class_id"), "class_size", "n_links", (F.col("s.same") == F.col("same")).alias("first"))
+    return split_join(rows.select("doc_id", "of", "same"), known, ["same"]).select("doc_id", "of", "class_id", "class_size", "n_links", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
+def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(bucket, id, size, label, n, weight) of members (bucket, id, size, live) in buckets with several classes and a live member; n: texts of the bucket, weight: unless it is there already, the sum of those over the buckets of a text."""
+    if label is None:
+        members = members.withColumn("label", F.col("id"))
+    else:
+        members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    members = stored(members, "members")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("live").alias("live")).filter((F.col("low") < F.col("high")) & F.col("live")).select("bucket", "n")
+    members = stored(split_join(members.drop("live"), sizes, ["bucket"]), "members")
+    return members if "weight" in members.columns else stored(split_join(members, members.groupBy("id").agg(F.sum("n").alias("weight")), ["id"]), "members")
+
+
+def _pairs(members: DataFrame, others: DataFrame, similarity: float, once: Column | None = None) -> DataFrame:
+    """(a, b), a < b, of members and others (_id, _size, _label) of a bucket that are in different classes. Of m aligned shingles no pair has more than the shorter text, so the similarity is at most the ratio of the sizes."""
+    alike = (F.col("label") != F.col("_label")) & (F.least("size", "_size") / F.greatest("size", "_size") >= similarity)
+    pairs = members.join(others, "bucket").filter(alike if once is None else alike & once)
+    return stored(pairs.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct(), "pairs", tidy=False)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

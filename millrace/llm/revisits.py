@@ -8,41 +8,52 @@ revisit must name the response's payload digest. Then the record gets the respon
 content and its headers, updated by those that a 304 may change (`PERMITTED`).
 
 The as-of join is two-level, so a URL with very many captures is never one task's work:
-captures are cut into buckets of time, each bucket's last response is carried to later
-buckets over one row a bucket, and within a bucket a window finds the latest response.
-Shuffled are keys and positions; contents are joined once, by record id, at the end.
+captures are dealt out by ranges of (URL, time) into buckets of about `BUCKET` rows, each
+bucket's last response of a URL is carried to later buckets over one row a bucket, and within
+a bucket a window finds the latest response. Shuffled are keys and positions; contents are
+joined once, by record id, at the end.
+
+write_files() writes WARC files of records compressed one by one, read_files() reads them as
+streams, so a worker holds a few records however large a file is. A file has a name of its
+own for each attempt and counts once its task has returned that name, so a lost executor
+leaves no half file behind that anything reads.
 
 Defined results: revisits without an earlier response are `unresolved`, those whose
 validators differ `mismatch`; both keep their own headers and no content. Responses pass
 through. At one time a response counts as earlier than a revisit; equal times rank by
 record id. Records with a null URL or time never resolve. An empty table gives an empty
-result. read_warc() keeps records whose length is wrong as `broken` rows.
+result. Records whose length is wrong are kept as `broken` rows.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
+import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import BinaryIO
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from millrace.llm.shared import ship
+from millrace.llm.shared import scratch, ship, stored
 
 #: Header fields that a 304 response may carry and that replace stored ones (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 #: Query parameters that don't select content.
 TRACKING = ["fbclid", "gclid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
-#: Seconds of a bucket of the as-of join.
-BUCKET = 1 << 14
+#: Rows of a bucket of the as-of join, about; bytes of a file, and of a read; bytes of contents that a worker hands on at a time.
+BUCKET, FILE_BYTES, CHUNK, HELD = 1 << 16, 1 << 28, 1 << 16, 1 << 22
 RECORD = "record_id long, type string, url string, at long, headers map<string,string>, digest string, content binary"
 
 
@@ -62,7 +73,9 @@ def canonical_url(url: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def canonical(urls: pd.Series) -> pd.Series:
-    return urls.map(canonical_url, na_action="ignore")
+    codes, each = pd.factorize(urls)
+    found = [*map(canonical_url, each), None]  # code -1: null
+    return pd.Series([found[c] for c in codes], dtype=object)
 
 
 def _validated(r: str = "revisit", f: str = "full") -> Column:
@@ -74,9 +87,12 @@ def _validated(r: str = "revisit", f: str = "full") -> Column:
 
 
 def as_of(keyed: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """keyed (record_id, key, at, is_full, etag, modified, digest) -> revisits with `full`, the latest earlier response of the key, or null."""
+    """keyed (record_id, key, at, is_full, etag, modified, digest) -> revisits with `full`, the latest earlier response of the key, or null. bucket: rows of a bucket, about."""
     order = F.struct("at", "is_not_full", "record_id")
-    rows = keyed.withColumns({"is_not_full": ~F.col("is_full"), "bucket": F.floor(F.col("at") / bucket)})
+    keyed = stored(keyed, "captures")
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // bucket))
+    ranged = keyed.withColumn("is_not_full", ~F.col("is_full")).repartitionByRange(parts, "key", "at", "is_not_full", "record_id")
+    rows = stored(ranged.withColumn("bucket", F.spark_partition_id()), "buckets")
     full = F.when(F.col("is_full"), F.struct("record_id", "at", "etag", "modified", "digest"))
     inside = Window.partitionBy("key", "bucket").orderBy("at", "is_not_full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,11 +116,15 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.col("revisit.record_id").alias("_id"),
         F.when(F.col("full").isNull(), "unresolved").when(_validated(), "resolved").otherwise("mismatch").alias("_status"),
         F.when(F.col("full").isNotNull() & _validated(), F.col("full.record_id")).alias("_source"),
+        F.hash("revisit.record_id").alias("_spread"),
     )
     # Contents of responses are shuffled once, to their revisits; responses themselves pass through.
     donors = records.filter(F.col("type") == "response").select(F.col("record_id").alias("_from"), F.col("headers").alias("_headers"), F.col("content").alias("_content"), F.col("digest").alias("_digest"))
     rows = records.filter(F.coalesce(F.col("type") != "response", F.lit(True)))
-    rows = rows.join(found, rows.record_id == found["_id"], "left").join(donors, F.col("_source") == F.col("_from"), "left")
+    rows = rows.join(found, rows.record_id == found["_id"], "left")
+    # Revisits without a source are dealt out by a number of their own, lest they all meet in one task.
+    spread = F.when(F.col("_source").isNull(), F.coalesce("_spread", F.hash("record_id"))).otherwise(0)
+    rows = rows.withColumn("_spread", spread).join(donors.withColumn("_at", F.lit(0)), (F.col("_source") == F.col("_from")) & (F.col("_spread") == F.col("_at")), "left")
     news = F.map_filter("headers", lambda k, v: k.isin(PERMITTED))
     merged = F.map_concat(F.map_filter("_headers", lambda k, v: ~F.array_contains(F.map_keys(news), k)), news)
     done = F.col("_source").isNotNull()
@@ -120,66 +140,171 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return passed.union(rows)
 
 
-def warc_bytes(record_id: int, kind: str, url: str | None, at: int, headers: dict[str, str], content: bytes | None, digest: str | None = None) -> bytes:
+def warc_bytes(record_id: int, kind: str, url: str | None, at: int | None, headers: dict[str, str], content: bytes | None, digest: str | None = None) -> bytes:
     """One WARC/1.1 record, compressed on its own."""
     status = "HTTP/1.1 304 Not Modified" if kind == "revisit" else "HTTP/1.1 200 OK"
     block = "\r\n".join([status, *(f"{k}: {v}" for k, v in headers.items()), "", ""]).encode() + (content or b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{record_id}>", f"WARC-Date: {datetime.fromtimestamp(at, UTC):%Y-%m-%dT%H:%M:%SZ}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{record_id}>"]
+    if at is not None:
+        head.append(f"WARC-Date: {datetime.fromtimestamp(at, UTC):%Y-%m-%dT%H:%M:%SZ}")
     head += [f"WARC-Target-URI: {url}"] * (url is not None) + [f"WARC-Payload-Digest: sha1:{digest}"] * (digest is not None)
     head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/server-not-modified"] * (kind == "revisit")
     return gzip.compress("\r\n".join([*head, "Content-Type: application/http", f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n", 1, mtime=0)
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of a file of compressed records."""
+def _members(file: BinaryIO) -> Iterator[bytes]:
+    """What the compressed members of a file hold, one by one. The last may be cut short."""
+    data = file.read(CHUNK)
     while data:
-        unzip = zlib.decompressobj(31)
-        raw = unzip.decompress(data) + unzip.flush()
-        data = unzip.unused_data
-        while raw.strip(b"\r\n"):
-            head, _, rest = raw.lstrip(b"\r\n").partition(b"\r\n\r\n")
-            fields = _fields(head)
+        unzip, parts = zlib.decompressobj(31), []
+        while data:
+            parts.append(unzip.decompress(data))
+            data = unzip.unused_data if unzip.eof else file.read(CHUNK)
+            if unzip.eof:
+                break
+        yield parts[0] if len(parts) == 1 else b"".join(parts)
+        data = data or file.read(CHUNK)
+
+
+def parse_warc(file: bytes | BinaryIO) -> Iterator[dict]:
+    """The records of a file of compressed records."""
+    for raw in _members(io.BytesIO(file) if isinstance(file, bytes) else file):
+        at = 0
+        while (at := _past_line_ends(raw, at)) < len(raw):
+            end = raw.find(b"\r\n\r\n", at)
+            end = len(raw) if end < 0 else end
+            fields = _fields(raw[at:end])
             size = int(fields.get("content-length", "0"))
-            block, raw = rest[:size], rest[size:]
+            block, at = raw[end + 4 : end + 4 + size], end + 4 + size
             http, _, content = block.partition(b"\r\n\r\n")
             kind = fields.get("warc-type", "unknown") if len(block) == size else "broken"
             digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or (hashlib.sha1(content).hexdigest() if kind == "response" else None)
-            number = re.sub(r"\D", "", fields.get("warc-record-id", ""))
+            number = "".join(filter(str.isdigit, fields.get("warc-record-id", "")))
             yield {"record_id": int(number) if number else None, "type": kind, "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "headers": _fields(http), "digest": digest, "content": None if kind == "revisit" else content}
 
 
+def _past_line_ends(raw: bytes, at: int) -> int:
+    while raw[at : at + 1] in (b"\r", b"\n"):
+        at += 1
+    return at
+
+
 def _fields(head: bytes) -> dict[str, str]:
-    lines = re.sub(rb"\r\n[ \t]+", b" ", head).decode("utf-8", "replace").split("\r\n")[1:]
+    if b"\r\n " in head or b"\r\n\t" in head:
+        head = re.sub(rb"\r\n[ \t]+", b" ", head)
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip()}
 
 
+def _row_bytes(b: pa.RecordBatch) -> Iterator[bytes]:
+    columns = [c.to_pylist() for c in b.columns]
+    for record_id, kind, url, at, headers, digest, content in zip(*columns, strict=True):
+        yield warc_bytes(record_id, kind, url, at, dict(headers or []), content, digest)
+
+
+_WRITTEN = ["record_id", "type", "url", "at", "headers", "digest", "content"]
+
+
 def write_warc(records: DataFrame) -> DataFrame:
-    """records -> (content binary): a part of a file for each batch; laid end to end they are one file."""
+    """records -> (content binary): one compressed record each; laid end to end they are a file."""
+    ship(records.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_row_bytes(b), pa.binary())], ["content"])
+
+    return records.select(*_WRITTEN).mapInArrow(run, "content binary")
+
+
+def write_files(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes WARC files into path, a folder that all executors share (any that pyarrow.fs opens). (file, records, bytes) of each."""
     ship(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(path)
+        store.create_dir(top, recursive=True)
+        name, out, n, size = "", None, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
+
         for b in batches:
-            for at in range(0, len(b), 64):
-                rows = b.slice(at, 64).to_pylist(maps_as_pydicts="lossy")
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(warc_bytes(r["record_id"], r["type"], r["url"], r["at"], r["headers"] or {}, r["content"], r["digest"]) for r in rows)], pa.binary())], ["content"])
+            for data in _row_bytes(b):
+                if out is None:
+                    name, n, size = f"{top}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = store.open_output_stream(name, compression=None)
+                out.write(data)
+                n, size = n + 1, size + len(data)
+                if size >= file_bytes:
+                    yield closed()
+                    out = None
+        if out is not None:
+            yield closed()
 
-    return records.select("record_id", "type", "url", "at", "headers", "digest", "content").mapInArrow(run, "content binary")
+    return stored(records.select(*_WRITTEN).mapInArrow(run, "file string, records long, bytes long"), "warc-files")
+
+
+def _store(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+
+
+_NAMES = ["record_id", "type", "url", "date", "headers", "digest", "content"]
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
+_READ = "record_id long, type string, url string, date string, headers map<string,string>, digest string, content binary"
+
+
+def _batches(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], k) for n, k in zip(_NAMES, _KINDS, strict=True)], _NAMES)
+
+    for r in records:
+        rows.append(r)
+        held += len(r["content"] or b"") + 500
+        if held > HELD:
+            yield batch()
+            rows, held = [], 0
+    if rows:
+        yield batch()
+
+
+def _timed(read: DataFrame) -> DataFrame:
+    return read.select("record_id", "type", "url", F.try_to_timestamp("date").cast("long").alias("at"), "headers", "digest", "content")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """files (content binary, as spark.read.format('binaryFile') gives) -> records."""
+    """files (content binary, as spark.read.format('binaryFile') gives) -> records. For files that fit in memory; read_files() reads any."""
     ship(files.sparkSession)
-    names = ["record_id", "type", "url", "date", "headers", "digest", "content"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = list(parse_warc(data or b""))
-                yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+            for k in range(len(b)):
+                yield from _batches(parse_warc(b.column(0)[k].as_py() or b""))
+
+    return _timed(files.select("content").mapInArrow(run, _READ))
+
+
+def read_files(files: DataFrame, path: str) -> DataFrame:
+    """files (file), as write_files() gives for this path -> records. A task has some files, and reads each as a stream."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _store(path)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with store.open_input_stream(name, compression=None) as f:
+                    yield from _batches(parse_warc(f))
+
+    spread = files.select("file").repartition(max(1, min(files.count(), 1 << 16)))
+    return _timed(spread.mapInArrow(run, _READ))
+
 
-    read = files.select("content").mapInArrow(run, "record_id long, type string, url string, date string, headers map<string,string>, digest string, content binary")
-    return read.select("record_id", "type", "url", F.to_timestamp("date").cast("long").alias("at"), "headers", "digest", "content")
+def written_and_read(records: DataFrame) -> DataFrame:
+    """The records as read_files() gives them from the files that write_files() makes in the shared folder."""
+    path = scratch(records.sparkSession, "warc")
+    return read_files(write_files(records, path), path)
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import shutil
@@ -18,21 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
-#: Rows that a Python worker gets at a time, unless the session says otherwise: texts may be long.
-BATCH_ROWS = 512
+#: Rows and bytes that a Python worker gets at a time, unless the session says otherwise: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once for each application, so that their Python finds it wherever it is installed, and bounds what a worker holds."""
+    """Sends the package to the executors once for each application, so that their Python finds it wherever it is installed, and bounds what a worker holds.
+
+    The bounds are session settings; they stay set, as results of operators are computed later, and only where the session has Spark's own defaults.
+    """
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, bound, default in (("maxRecordsPerBatch", BATCH_ROWS, 10_000), ("maxBytesPerBatch", BATCH_BYTES, 2**31 - 1)):
+        if int(spark.conf.get(f"spark.sql.execution.arrow.{name}", str(default))) >= default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", bound)
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         root = Path(__file__).parents[2]
         with tempfile.TemporaryDirectory() as d:
             shutil.copytree(root / "millrace", f"{d}/all/millrace", ignore=shutil.ignore_patterns("__pycache__"))
-            sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/millrace", "zip", f"{d}/all"))
+            made = tempfile.mkdtemp()
+            sc.addPyFile(shutil.make_archive(f"{made}/millrace", "zip", f"{d}/all"))
+            atexit.register(shutil.rmtree, made, True)  # executors that come later fetch it from the driver
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,14 +71,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df written once to the shared folder and read from there: cuts lineage, and no executor's loss makes it run again."""
+def stored(df: DataFrame, name: str, compression: str = "snappy", tidy: bool = True) -> DataFrame:
+    """df written once to the shared folder and read from there: cuts lineage, and no executor's loss makes it run again. tidy: frees shuffle files at once, which steps of little data needn't do."""
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, name)
     df.write.option("compression", compression).parquet(path)
     del df
-    gc.collect()  # Spark deletes shuffle files once nothing refers to the plan that made them
-    spark.sparkContext._jvm.System.gc()
+    if tidy:
+        gc.collect()  # Spark deletes shuffle files once nothing refers to the plan that made them
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

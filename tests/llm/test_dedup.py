@@ -183,6 +183,72 @@ def test_chains_in_a_hot_bucket_are_followed(spark, monkeypatch):
     assert [got[i] for i in range(17)] == [0] * 3 + [3] * 4 + [7] * 9 + [16]
 
 
+def classes(x):
+    root = list(range(len(x)))
+    for i in range(len(x)):
+        for j in range(i):
+            if root[i] != root[j] and order_minhash.aligned(x[i], x[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_dense_family_in_a_hot_bucket_loses_no_link(spark, monkeypatch, seed):
+    """Half are edits of one text, half edits of those; most pairs aren't linked, and all share a bucket with texts that are not alike."""
+    bands = order_minhash.bands
+    monkeypatch.setattr(order_minhash, "bands", lambda x: np.append(bands(x), np.uint64(0)))
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for size in (60, 45):
+        base = [word() for _ in range(size)]
+        family = []
+        for k in range(120):
+            t = list(base if k < 60 else rng.choice(family[:60]))
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randrange(2)] = [word()] * rng.randrange(2) if k % 3 else [word()]
+            family.append(t)
+        texts += family
+    texts += [texts[0][30:] + texts[0][:30], texts[0][30:] + texts[0][:30] + [word()], *([word() for _ in range(50)] for _ in range(30))]
+    rng.shuffle(texts)
+    texts = list(map(" ".join, texts))
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    root = classes([order_minhash.shingles(t) for t in first])
+    want = {t: list(first.values()).index(first[t]) for t in first}
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, texts)).collect()}
+    of = {}
+    for t, i in first.items():
+        of.setdefault(root[want[t]], set()).add(got[i])
+    assert all(len(v) == 1 for v in of.values()) and len(set().union(*of.values())) == len(of)
+
+
+def test_recall_on_the_documents(spark):
+    """Pairs of different texts that are similar, by brute force, against the classes found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.text: r.doc_id for r in docs.collect() if r.text}
+    x = {i: order_minhash.shingles(t) for t, i in rows.items()}
+    sets = {i: order_minhash.labelled(v) for i, v in x.items()}
+    where = collections.defaultdict(list)
+    for i, v in sets.items():
+        for s in v.tolist():
+            where[s].append(i)
+    shared = collections.Counter((a, b) for v in where.values() if len(v) < 200 for a in v for b in v if a < b)
+    links = [(a, b) for (a, b), n in shared.items() if n / (len(x[a]) + len(x[b]) - n) > 0.6 and order_minhash.aligned(x[a], x[b]) >= 0.8]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    assert len(links) >= 5 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+
+
+def test_ids_that_repeat_or_are_missing_are_decided_by_text(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    near = [base + " x", "y " + base, base.replace("w50", "z")]
+    df = spark.createDataFrame([(None, base, None, 1), (None, near[0], None, 1), (5, "other " * 30, None, 1), (5, near[1], None, 1), (5, near[2], None, 1)], SCHEMA)
+    got = [(r.doc_id, r.class_id, r.class_size, r.kept) for r in order_minhash.near_duplicates(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, 5, 4, False), (None, 5, 4, False), (5, 5, 1, True), (5, 5, 4, True), (5, 5, 4, False)]))
+    assert order_minhash.keep_one(df).count() == 2
+    assert order_minhash.keep_one(df.filter("doc_id is null")).count() == 1
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(1, "a b c", None, 1), (1, "a b c", None, 1), (None, "a b c", None, 1), (None, "q r s", None, 1)], SCHEMA)
     got = sorted((str(r.doc_id), str(r.class_id), r.class_size, r.kept) for r in order_minhash.near_duplicates(df).collect())

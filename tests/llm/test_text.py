@@ -163,11 +163,31 @@ def test_warc_round_trip(spark):
     back = sorted(tuple(r) for r in revisits.read_warc(revisits.write_warc(records)).collect())
     assert back == [tuple(bytearray(x) if isinstance(x, bytes) else x for x in r) for r in rows]
     raw = b"".join(revisits.warc_bytes(1, "response", "u", 0, {"A": "b"}, b"x" * 10) for _ in range(2))
+    assert [r["content"] for r in revisits.parse_warc(gzip.compress(gzip.decompress(raw) + b"\r\n"))] == [b"x" * 10] * 2  # one member
     assert [r["type"] for r in revisits.parse_warc(raw)] == ["response"] * 2
     cut = gzip.compress(gzip.decompress(raw[: len(raw) // 2])[:-9])
     assert [r["type"] for r in revisits.parse_warc(cut)] == ["broken"]
 
 
+def test_warc_files(spark, tmp_path):
+    """Files that roll over, very long contents, null ids, URLs, times and pages, and a read of the files by binaryFile."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["response", "revisit"]), f"http://a/{i}", i, {"a": "é"}, None, None) for i in range(300)]
+    rows = [(*r[:6], bytes(rng.randrange(256) for _ in range(rng.randrange(300)))) if r[1] == "response" else r for r in rows]
+    rows += [(300, "response", "http://long/", 1, {}, "d", b"0123456789" * 500_000), (301, "response", None, None, {}, "d", None), (302, "response", "u", 2, None, "d", b"")]
+    records = spark.createDataFrame(rows, "record_id long, type string, url string, at long, headers map<string,string>, digest string, content binary").repartition(3)
+    files = revisits.write_files(records, str(tmp_path / "warc"), file_bytes=2000)
+    assert files.count() > 10 and files.agg({"records": "sum"}).first()[0] == 303
+    for back in (revisits.read_files(files, str(tmp_path / "warc")), revisits.read_warc(spark.read.format("binaryFile").load(str(tmp_path / "warc")))):
+        got = {r.record_id: r for r in back.collect()}
+        assert len(got) == 303 and all((got[i].type, got[i].url, got[i].at, got[i].headers) == (k, u, at, h or {}) for i, k, u, at, h, *_ in rows)
+        assert all(got[r[0]].content == (r[6] or (b"" if r[1] == "response" else None)) for r in rows)
+    assert revisits.written_and_read(records.limit(0)).count() == 0
+    pages = spark.createDataFrame([(None, "http://a/", "x"), (1, None, "y"), (2, "http://a/", None), (2, "http://a/", None)], "page_id long, url string, html string")
+    out = revisits.resolve(revisits.written_and_read(revisits.captures(pages))).collect()
+    assert len(out) == 11 and sum(r.status == "full" for r in out if r.url is None) == sum(r.type == "response" for r in out if r.url is None)
+
+
 def test_revisits_resolve_to_the_latest_earlier_response(spark):
     rng = random.Random(6)
     rows = []

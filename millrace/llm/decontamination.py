@@ -10,9 +10,11 @@ fifths are equal, the one with most equal words is kept. A document is contamina
 or four fifths of a shorter item. A run of nine or more equal words never escapes the
 masks; of items of 5, 6 or 10 words some runs of exactly 4, 5 or 8 do.
 
-Test items reach the workers in parts of at most about `PART_BYTES` of text; a larger
-benchmark takes more passes over the documents, and none of it is left out. Documents
-are neither shuffled nor collected.
+Test items reach the workers in parts of about `PART_BYTES` of text at most (or of one item), whose
+index is some 12 bytes for a byte of text; each Python worker holds one part. A larger benchmark
+takes more passes over the documents, and none of it is left out. Documents are neither shuffled
+nor collected. Where a text and an item repeat the same words, hits are made out `HITS` at a time
+and offsets that can't give a better run aren't compared; none is left out.
 
 Defined results: a null, empty or wordless text has no seeds, and such an item matches
 nothing. Items and texts shorter than a mask are compared by the shorter masks only;
@@ -37,7 +39,7 @@ from millrace.llm.shared import ship, texts
 #: Five words each: without a gap, and around one or two replaced words.
 MASKS = ("11111", "111101", "110111", "1101101", "1011011")
 LEAST, PENALTY, SHARE = 13, 4, 0.8
-PART_BYTES = 32 << 20
+PART_BYTES, HITS = 4 << 20, 1 << 20
 
 _of_words: list[np.ndarray] = []
 
@@ -80,37 +82,57 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 class Items:
     def __init__(self, rows: list[tuple[int, str | None]]):
-        """rows: (item id, text)."""
+        """rows: (item id, text). All items' words are laid end to end; keys are the seeds, sorted, and places where each begins."""
         self.ids = [r[0] for r in rows]
-        self.words = [words(r[1]) for r in rows]
-        found = [(seeds(w, m), n) for n, w in enumerate(self.words) for m in (MASKS if len(w) >= 5 else ("1" * max(1, len(w)),))]
-        keys = [np.zeros(0, np.uint64), *(s for s, _ in found)]
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < 5})
-        keys, item, place = np.concatenate(keys), np.concatenate([np.zeros(0, np.int64), *(np.full(len(s), n) for s, n in found)]), np.concatenate([np.zeros(0, np.int64), *(np.arange(len(s)) for s, _ in found)])
+        each = [words(r[1]) for r in rows]
+        self.start = np.cumsum([0, *map(len, each)])
+        self.words = np.concatenate([np.zeros(0, np.uint64), *each])
+        self.short = sorted({len(w) for w in each if 0 < len(w) < 5})
+        found = [(seeds(w, m), at) for w, at in zip(each, self.start.tolist(), strict=False) for m in (MASKS if len(w) >= 5 else ("1" * max(1, len(w)),))]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in found)])
+        places = np.concatenate([np.zeros(0, np.uint32), *(np.arange(at, at + len(s), dtype=np.uint32) for s, at in found)])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.place = keys[order], item[order], place[order]
+        self.keys, self.places = keys[order], places[order]
 
-    def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, equal words, first and end word in the text) of each contaminating item: its best run, the first among equals."""
-        w, best = words(text), {}
+    def _offsets(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place in the text where the item would begin), each once, in order."""
+        item, shift, room = np.zeros(0, np.int64), np.zeros(0, np.int64), len(w) + len(self.words) + 1
         for mask in (*MASKS, *("1" * n for n in self.short)):
             s = seeds(w, mask)
             low = np.searchsorted(self.keys, s)
             at = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == s) if len(self.keys) else low[:0]
             if not len(at):
                 continue
-            low = low[at]
-            n = np.searchsorted(self.keys, s[at], "right") - low
-            i = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            best.update(dict.fromkeys(zip(self.item[i].tolist(), (np.repeat(at, n) - self.place[i]).tolist(), strict=True)))
-        out: dict[int, tuple[int, int, int]] = {}
-        for item, shift in sorted(best):
-            x = self.words[item]
-            a, b = max(0, shift), min(len(w), shift + len(x))
-            equal, first, end = overlap(w[a:b], x[a - shift : b - shift])
-            if equal >= min(LEAST, math.ceil(SHARE * len(x))) and equal > out.get(item, (0,))[0]:
-                out[item] = equal, a + first, a + end
-        return [(self.ids[n], *x) for n, x in out.items()]
+            low, high = low[at], np.searchsorted(self.keys, s[at], "right")
+            ends = np.cumsum(high - low)
+            for first in range(0, int(ends[-1]), HITS):
+                k = np.arange(first, min(first + HITS, int(ends[-1])))
+                of = np.searchsorted(ends, k, "right")
+                place = self.places[high[of] - (ends[of] - k)].astype(np.int64)
+                n = np.searchsorted(self.start, place, "right") - 1
+                code = n * 2 * room + at[of] - (place - self.start[n]) + room  # small enough: items times words
+                code = np.unique(np.concatenate([item * 2 * room + shift + room, code]))
+                item, shift = code // (2 * room), code % (2 * room) - room
+        return item, shift
+
+    def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item id, equal words, first and end word in the text) of each contaminating item: its best run, the first among equals."""
+        w = words(text)
+        item, shift = self._offsets(w)
+        size = (self.start[1:] - self.start[:-1])[item]
+        room = np.minimum(len(w), shift + size) - np.maximum(0, shift)
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for k in np.lexsort((shift, -room, item)).tolist():  # the offsets of an item by how many words may be equal
+            n, at, most = int(item[k]), int(shift[k]), int(room[k])
+            least = min(LEAST, math.ceil(SHARE * int(size[k])))
+            if most < least or n in best and (most < best[n][0] or most == best[n][0] and at > best[n][1]):
+                continue
+            x = self.words[self.start[n] : self.start[n + 1]]
+            a = max(0, at)
+            equal, first, end = overlap(w[a : a + most], x[a - at : a - at + most])
+            if equal >= least and (n not in best or (equal, -at) > (best[n][0], -best[n][1])):
+                best[n] = equal, at, a + first, a + end
+        return [(self.ids[n], e, first, end) for n, (e, _, first, end) in sorted(best.items())]
 
 
 def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Items]:

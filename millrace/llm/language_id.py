@@ -36,30 +36,36 @@ _folded: list[np.ndarray] = []
 
 
 def _letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased letters, each run of other characters as one space, a space at both ends."""
+    """Code points of the letters, any other character as a space."""
     if not _folded:
         _folded.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.concatenate(([32], np.where(_folded[0][codes], codes, 32), [32]))
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-    return codes[keep]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where(_folded[0][codes], codes, 32)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams of a text, ascending, and their counts. A code is its characters as digits in base 2**21."""
-    all_codes, all_counts = [], []
-    for at in range(0, max(1, len(text)), PART):
-        c = _letters(text[at : at + PART])
+    """Codes of all n-grams of a text, ascending, and their counts: of its lower-cased words, each run of other characters as one space, a space at both ends. A code is its characters as digits in base 2**21.
+
+    `PART` characters are looked at a time; the last two of what came before go along, so cuts change no count.
+    """
+    text = text.lower() + " "
+    codes, counts, last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([32])
+    for at in range(0, len(text), PART):
+        c = np.concatenate((last, _letters(text[at : at + PART])))
+        c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
+        n = len(last)
         two = c[:-1] << 21 | c[1:]
         three = two[:-1] << 21 | c[2:]
-        codes, counts = np.unique(np.concatenate([c[c != 32], two, three]), return_counts=True)
-        all_codes.append(codes)
-        all_counts.append(counts)
-    if len(all_codes) == 1:
-        return all_codes[0], all_counts[0]
-    codes, back = np.unique(np.concatenate(all_codes), return_inverse=True)
-    return codes, np.bincount(back, np.concatenate(all_counts)).astype(np.int64)
+        here, n_here = np.unique(np.concatenate([c[n:][c[n:] != 32], two[n - 1 :], three[max(0, n - 2) :]]), return_counts=True)
+        last = c[-2:]
+        if not len(codes):
+            codes, counts = here, n_here
+            continue
+        codes, back = np.unique(np.concatenate([codes, here]), return_inverse=True)
+        both = np.zeros(len(codes), np.int64)
+        np.add.at(both, back, np.concatenate([counts, n_here]))
+        counts = both
+    return codes, counts
 
 
 def top(text: str, size: int) -> np.ndarray:

@@ -7,7 +7,8 @@ name at that length are those of a longest-common-prefix interval: repeats of th
 lines or more. The copy
 with the smallest (id, line) stays, the windows of later ones are deleted; windows that
 overlap or adjoin make up the maximal runs. A single line counts as a run from
-`min_words` words on.
+`min_words` words on: shorter ones (headings, list signs, closing words) recur for other
+reasons than copying, and are deleted only with their neighbours.
 
 Shuffled are line ids (16 bytes), and once the texts, to delete lines from them. The
 count of ids comes first, so lines that occur once are dropped before anything else. A
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.prefix_doubling import double, first_names
 from millrace.llm.shared import split_join, stored
 
-MIN_LINES, MIN_WORDS = 2, 20
+MIN_LINES, MIN_WORDS = 2, 4
 KEY = ["_doc", "_of"]
 
 
@@ -84,7 +85,9 @@ def _with_removed(docs: DataFrame, id_col: str, text_col: str, **limits: int) ->
 
 
 def _kept(text: Column) -> Column:
-    left = F.filter(_lines(text), lambda x, i: ~F.array_contains(F.col("removed"), i))
+    # The one element of the outer array gives the lines a name, so the text is split once; array_except() looks numbers up by hash.
+    both = F.array(F.struct(_lines(text).alias("all"), F.col("removed").alias("gone")))
+    left = F.get(F.transform(both, lambda v: F.transform(F.array_except(F.sequence(F.lit(0), F.size(v["all"]) - 1), v["gone"]), lambda i: F.get(v["all"], i))), F.lit(0))
     return F.when(F.col("removed").isNull(), text).when(F.size("removed") == F.size(_lines(text)), F.lit("")).otherwise(F.array_join(left, "\n"))
 
 

@@ -11,20 +11,20 @@ wide as a linked pair's alignment can stray.
 Equal texts are one text first, known by a 128-bit hash. In each bucket of candidates the
 text that shares most buckets with others leads and is compared with the rest. What is in
 one class after that needs no further comparison. In buckets that still hold several
-classes, up to `FEW` texts are compared with one another. Larger ones are refined, so that no
-bucket is ever paired off whole: of all texts that such buckets connect, the one that
-shares most buckets, L, is aligned with each other text once. If x is not similar to L but y is similar to x,
-then x and y share a shingle that L lacks, or if y is shorter than L, both may only lack one
-that L has: else y would be as far from x as L is. More exactly, with c = (1 - similarity) /
-(1 + similarity), |x - L| + |L - x| + |y| - |L| - c (|x| + |y|) is at most twice the number of
-shared shingles that L lacks, where |y| is |L| or, for shorter texts, similarity * |x| at least;
-so one of the shared ones is among all but that many, less one, of x's, in order of their
-hashes. Where this says nothing of shorter texts, the same holds for what both lack. These
-shingles make the buckets of the next level, where texts similar to L come with all that sets
-them apart from L. A candidate pair is left out only if it is in one class already, or if the
-numbers of shingles or the above rule a link out. (The above is about sets. A text whose set
-is similar to L's, but not its order, comes with all that sets it apart; where that is nothing,
-it meets no more texts.)
+classes, texts of different classes are compared if that makes `FEW` / 2 pairs a text at most.
+Other buckets are refined, so that no bucket is ever paired off whole: of all texts that such buckets connect, the one that
+shares most buckets, L, is aligned with each other text once. What is in L's class by then is
+settled among itself. If x is not in it, and y is similar to x, then |x - L| + |L - x| + |y| -
+|L| - c (|x| + |y|), with c = (1 - similarity) / (1 + similarity), is at most twice the number of
+shingles that x and y share and L lacks. With the least |y| that there is (similarity * |x| at
+least) x so knows how many it must share, and one of these is among all but that many, less
+one, of what it has beyond L, the rarest of these texts first. If that says nothing for texts shorter than L,
+the same holds of shingles that L has and both lack, without the lengths. These shingles make the
+buckets of the next level, where texts of L's class come with all that sets them apart from L.
+A candidate pair is left out only if it is in one class already, or if the numbers of
+shingles or the above rule a link out. (The above is about sets. A text whose set is similar to
+L's, but not its order, comes with all that sets it apart; where that is nothing, it meets no
+more texts.)
 Classes are the connected components of the links, by label spreading with the state written
 each time.
 
@@ -45,7 +45,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.fingerprints import MULTIPLIER, Stretches, mixed
@@ -53,7 +53,7 @@ from millrace.llm.shared import ship, split_join, stored, texts
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, ROWS_OF_BAND = 96, 3
-#: Texts of a bucket that are compared with one another at most, larger ones being refined; shingles hashed at a time.
+#: Twice the pairs of a bucket for each of its texts that are compared at most, buckets with more being refined; shingles hashed at a time.
 FEW, PART = 32, 1 << 15
 
 
@@ -189,31 +189,45 @@ def verified(pairs: DataFrame, x: DataFrame, least: float) -> DataFrame:
     return left.join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a binary, b binary")
 
 
-def beyond(x: np.ndarray, leader: np.ndarray, least: float) -> tuple[bool, bool, np.ndarray, np.ndarray]:
-    """Whether a text is similar to its leader, whether it is shorter, and what it must share with similar texts (see above): labelled shingles that the leader lacks, and those of the leader that it lacks itself."""
+def beyond(x: np.ndarray, leader: np.ndarray, settled: bool, smallest: int, least: float) -> tuple[bool, bool, np.ndarray, int, np.ndarray, int]:
+    """Whether a text is similar to its leader, whether it is shorter, and of what it must share some with similar texts (see above): labelled shingles that the leader lacks and how many of them, the rarest, have one at least that is shared, and likewise those of the leader that it lacks itself. settled: it is in the leader's class."""
     a, b = np.sort(labelled(x)), np.sort(labelled(leader))
     added, lost = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
-    c, off = (1 - least) / (1 + least), len(added) + len(lost)
-    ok, short = aligned(x, leader, least) >= least, len(a) < len(b)
-    if ok:
-        return ok, short, added, lost[: None if short else 0]
+    c, off, short = (1 - least) / (1 + least), len(added) + len(lost), len(a) < len(b)
+    ok = aligned(x, leader, least) >= least
+    if ok or settled:
+        return ok, short, added, len(added), lost, len(lost) * short
     longer = max(1, math.ceil((off - c * (len(a) + len(b))) / 2 - 1e-9))
-    shorter = math.ceil((off - len(b) - c * len(a) + (1 - c) * least * len(a)) / 2 - 1e-9)
-    lost = lost[: max(0, len(lost) - longer + 1) if shorter < 1 else 0]
-    return ok, short, added[: max(0, len(added) - min(longer, shorter if shorter > 0 else longer) + 1)], lost
+    shorter = math.ceil((off - len(b) - c * len(a) + (1 - c) * max(smallest, least * len(a))) / 2 - 1e-9)
+    return ok, short, added, max(0, len(added) - (min(longer, shorter) if shorter > 0 else longer) + 1), lost, max(0, len(lost) - longer + 1) * (shorter < 1)
 
 
 def refined(rows: DataFrame, x: DataFrame, least: float) -> DataFrame:
-    """(comp, id, leader, ok, short, added, lost) of rows (comp, id, leader): see beyond()."""
-    names = ["comp", "id", "leader", "ok", "short", "added", "lost"]
+    """(comp, id, leader, ok, short, added, n_added, lost, n_lost) of rows (comp, id, leader, settled, smallest): see beyond(); what counts for nothing is left empty."""
+    names = ["comp", "id", "leader", "ok", "short", "added", "n_added", "lost", "n_lost"]
+    kinds = [pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [beyond(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([f[k] for f in found], pa.bool_()) for k in (0, 1)), *(pa.array([f[k].view(np.int64) for f in found], pa.list_(pa.int64())) for k in (2, 3))], names)
+            found = []
+            for settled, smallest, x, y in zip(*(c.to_pylist() for c in b.columns[3:]), strict=True):
+                ok, short, added, n, lost, m = beyond(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), settled, smallest, least)
+                found.append((ok, short, added.view(np.int64) if n else [], n, lost.view(np.int64) if m else [], m))
+            cols = list(zip(*found, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(v, k) for v, k in zip(cols, kinds, strict=True))], names)
 
     left = rows.join(x, "id").join(x.select(F.col("id").alias("leader"), F.col("x").alias("y")), "leader")
-    return left.select("comp", "id", "leader", "x", "y").mapInArrow(run, "comp binary, id binary, leader binary, ok boolean, short boolean, added array<long>, lost array<long>")
+    return left.select("comp", "id", "leader", "settled", "smallest", "x", "y").mapInArrow(run, "comp binary, id binary, leader binary, ok boolean, short boolean, added array<long>, n_added long, lost array<long>, n_lost long")
+
+
+def rarest(fine: DataFrame) -> DataFrame:
+    """(comp, id, short, lost, e): of what refined() found the n_added and n_lost rarest shingles of each text that another text of its comp has too. lost: which of the two."""
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("lost"), F.col("added").alias("e"), F.col("n_added").alias("most")), F.struct(F.lit(True).alias("lost"), F.col("lost").alias("e"), F.col("n_lost").alias("most"))))
+    each = fine.select("comp", "id", "short", sides.alias("s")).select("comp", "id", "short", "s.lost", "s.most", F.explode("s.e").alias("e"))
+    key = ["comp", "lost", "e"]
+    each = split_join(each, each.groupBy(*key).agg(F.count("*").alias("n")), key)
+    nth = F.row_number().over(Window.partitionBy("comp", "id", "lost").orderBy("n", "e"))
+    return each.withColumn("nth", nth).filter((F.col("nth") <= F.col("most")) & (F.col("n") > 1)).select("comp", "id", "short", "lost", "e")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,21 +273,25 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         rest = _open(rest, label)
         if rest.isEmpty():
             break
-        few = rest.filter(F.col("n") <= FEW)
-        links.append(stored(verified(_pairs(few, few.select("bucket", *(F.col(c).alias(f"_{c}") for c in ("id", "size", "label"))), similarity, F.col("id") < F.col("_id")), x, similarity), "found", tidy=False))
-        many = stored(rest.filter(F.col("n") > FEW).select("bucket", "id", "size", "weight"), "many")
+        few, others = rest.filter(F.col("cross") <= FEW * F.col("n")), ("id", "size", "label")
+        other = few.select("bucket", *(F.col(c).alias(f"_{c}") for c in others))
+        # Of two classes one isn't the bucket's largest, and all that aren't are few, or there were more pairs.
+        once = (F.col("_label") == F.col("top")) | (F.col("id") < F.col("_id"))
+        links.append(stored(verified(_pairs(few.filter(F.col("label") != F.col("top")), other, similarity, once), x, similarity), "found", tidy=False))
+        many = stored(rest.filter(F.col("cross") > FEW * F.col("n")).select("bucket", "id", "size", "weight", "label"), "many")
         if many.isEmpty():
             label = components(reduce(DataFrame.union, links))
             break
         hub = many.groupBy("bucket").agg(F.min("id").alias("a"))
         comp = components(split_join(many.select("bucket", "id"), hub, ["bucket"]).select("a", F.col("id").alias("b")).distinct())
-        sized = stored(many.select("id", "size", "weight").distinct().join(comp.withColumnRenamed("label", "comp"), "id"), "sized", tidy=False)
-        central = stored(sized.groupBy("comp").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("s")).select("comp", F.col("s.id").alias("leader")), "leaders", tidy=False)
-        fine = stored(refined(sized.join(central, "comp").filter(F.col("id") != F.col("leader")).select("comp", "id", "leader"), x, similarity), "refined", tidy=False)
+        sized = stored(many.select("id", "size", "weight", "label").distinct().join(comp.withColumnRenamed("label", "comp"), "id"), "sized", tidy=False)
+        central = sized.groupBy("comp").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "label")).alias("s"), F.min("size").alias("smallest"))
+        central = stored(central.select("comp", F.col("s.id").alias("leader"), F.col("s.label").alias("_label"), "smallest"), "leaders", tidy=False)
+        aside = sized.join(central, "comp").filter(F.col("id") != F.col("leader")).select("comp", "id", "leader", (F.col("label") == F.col("_label")).alias("settled"), "smallest")
+        fine = stored(refined(aside, x, similarity), "refined", tidy=False)
         links.append(fine.filter("ok").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
         label = components(reduce(DataFrame.union, links))
-        sides = F.explode(F.array(F.struct(F.lit(False).alias("lost"), F.col("added").alias("e")), F.struct(F.lit(True).alias("lost"), F.col("lost").alias("e"))))
-        spread = fine.select("comp", "id", "short", sides.alias("s")).select("comp", "id", "short", "s.lost", F.explode("s.e").alias("e")).join(sized.select("id", "size", "weight"), "id")
+        spread = rarest(fine).join(sized.select("id", "size", "weight"), "id")
         # What texts lack counts where one of them is shorter than the leader.
         members = _open(spread.select("id", "size", "weight", F.xxhash64("comp", "lost", "e").alias("bucket"), (F.col("short") | ~F.col("lost")).alias("live")), label)
 
@@ -289,13 +307,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
 
 
 def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(bucket, id, size, label, n, weight) of members (bucket, id, size, live) in buckets with several classes and a live member; n: texts of the bucket, weight: unless it is there already, the sum of those over the buckets of a text."""
+    """(bucket, id, size, label, n, cross, top, weight) of members (bucket, id, size, live) in buckets with several classes and a live member. n: texts of the bucket, cross: twice its pairs of different classes, top: its largest class, weight: unless it is there already, the sum of n over the buckets of a text."""
     if label is None:
         members = members.withColumn("label", F.col("id"))
     else:
         members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = stored(members, "members")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("live").alias("live")).filter((F.col("low") < F.col("high")) & F.col("live")).select("bucket", "n")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("live").alias("live"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.max(F.struct("n", "label")).alias("top"), F.max("live").alias("live"))
+    sizes = sizes.filter((F.col("cross") > 0) & F.col("live")).select("bucket", "n", "cross", F.col("top.label").alias("top"))
     members = stored(split_join(members.drop("live"), sizes, ["bucket"]), "members")
     return members if "weight" in members.columns else stored(split_join(members, members.groupBy("id").agg(F.sum("n").alias("weight")), ["id"]), "members")
 

@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -92,8 +93,8 @@ N_FEATURES, N_LABELS, STEPS = 61, 5, 8
 def _features(token: str, digits: str, first: bool, last: bool) -> list[int]:
     """Indices of the features that a token has."""
     n = len(digits)
-    letters = sum(c.isalpha() for c in token[:64])
-    on = [0, 1 + min(n, 20), 22 + min(token.count("."), STEPS - 1), 30 + min(token.count("-"), STEPS - 1), 38 + min(letters, STEPS - 1)]
+    letters = sum(1 for _ in islice(filter(str.isalpha, token), STEPS - 1))
+    on = [0, 1 + min(n, 20), 22 + min(token.count("."), STEPS - 1), 30 + min(token.count("-"), STEPS - 1), 38 + letters]
     return on + [46 + k for k, x in enumerate(("@" in token, token[0] == "+", token[0] == "(", ")" in token, ":" in token, "=" in token, "/" in token, 12 <= n <= 19 and luhn(digits), n == len(token), "%" in token, first, last, "_" in token, n > 20, '"' in token)) if x]
 
 

@@ -82,7 +82,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, coalesce(text, '') AS text FROM documents),
         l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS line FROM d),
         p AS (
-            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos, len(regexp_split_to_array(trim(x), '\s+')) >= 20 AS long
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos, len(regexp_split_to_array(trim(x), '\s+')) >= 4 AS long
             FROM l WHERE trim(x) <> ''
         ),
         w AS (

@@ -50,6 +50,8 @@ def test_backtracking_equals_merging(codec):
     for _ in range(500):
         t = "▁" + "".join(rng.choice("thesaingoru") for _ in range(rng.randrange(14)))
         assert codec.backtrack(t) == codec.merge(t)
+        marks = "▁" * rng.randrange(1, 120)
+        assert codec.backtrack(marks + t) == codec.merge(marks + t) and codec.backtrack(marks) == codec.merge(marks)
 
 
 def test_frames(spark, library):

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -32,8 +33,13 @@ def test_exact_dedup(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r) for r in exact_dedup.exact_dedup(df).collect()), key=key) == sorted(want, key=key)
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
-    plan = exact_dedup.exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "text" not in plan.split("Exchange")[0].split("Project")[0]
+    few = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.keepers(df).collect()}
+    assert few == {w[:4] for w in want} and exact_dedup.keepers(df).count() == len(want)
+    for every in (False, True):  # whole texts are hashed above the joins that say which groups survive
+        hashed = exact_dedup.hashes(df.select("doc_id", "text").fillna("", "text"), every=every)
+        plan = hashed._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "sha2" in plan.split("Join")[0] and not any("sha2" in x for x in plan.split("Join")[1:])
+        assert hashed.filter("text_sha256 is null").count() == (0 if every else hashed.filter("not again").count()) and hashed.filter("not again").count() > 0
 
 
 LONG = "one two three four five six seven eight nine ten one two three four five six seven eight nine ten end"
@@ -61,11 +67,25 @@ def test_line_dedup(spark, min_lines):
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(25)] + [None, "", "a\na\na\na\na\na", "\n\n\n"]
     df = frame(spark, texts)
     left, gone = lines_left(list(enumerate(texts)), min_lines, 20)
-    got = {r.doc_id: r for r in line_dedup.report(df, min_lines=min_lines).collect()}
+    got = {r.doc_id: r for r in line_dedup.report(df, min_lines=min_lines, min_words=20).collect()}
     for i, t in enumerate(texts):
         assert (got[i].kept_sha256, got[i].n_removed, got[i].n_lines) == (sha(left[i]), len(gone[i]), len(t.split("\n")) if t else 0), (i, t)
 
 
+def test_single_lines_between_others(spark):
+    """Boilerplate between lines that differ goes from four words on, and the copy with the smallest id stays."""
+    df = frame(spark, [f"first {i} of\nplease share this page now\nthe end\nlast {i}" for i in range(5)])
+    assert {r.doc_id: (r.n_removed, r.n_runs) for r in line_dedup.report(df).collect()} == {i: (int(i > 0), int(i > 0)) for i in range(5)}
+    assert "please share" not in line_dedup.drop_lines(df).filter("doc_id = 3").first().text
+
+
+def test_many_lines_are_cut_in_linear_time(spark):
+    many = "\n".join(f"line {i % 15000} with five words" for i in range(60_000))
+    t = time.monotonic()
+    r = line_dedup.report(frame(spark, [many])).first()
+    assert (r.n_lines, r.n_removed, r.n_runs) == (60_000, 45_000, 1) and time.monotonic() - t < 40
+
+
 def test_line_dedup_edges(spark):
     twice = spark.createDataFrame([(1, f"{LONG}\nx", None, 1), (1, f"{LONG}\nx", None, 1), (2, f"{LONG}\nx", None, 1), (2, "other", None, 1), (None, LONG, None, 1)], SCHEMA)
     got = sorted((r.doc_id or 0, r.n_removed, r.n_runs) for r in line_dedup.report(twice).collect())

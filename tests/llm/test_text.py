@@ -1,6 +1,8 @@
+import collections
 import gzip
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -30,14 +32,36 @@ def test_languages(spark):
     assert language_id.identify(docs.limit(0), profiles).count() == 0
 
 
-def test_grams_of_long_texts_add_up():
-    old, language_id.PART = language_id.PART, 50
-    try:
-        codes, counts = language_id.grams("abc " * 100)
-    finally:
-        language_id.PART = old
-    n = dict(zip(codes.tolist(), counts.tolist(), strict=True))
-    assert n[ord("a")] == 100 and n[ord("a") << 42 | ord("b") << 21 | ord("c")] >= 90
+def brute_grams(text):
+    t = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    count = collections.Counter(t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1))
+    del count[" "]
+    return {sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g)): n for g, n in count.items()}
+
+
+@pytest.mark.parametrize("part", [1, 2, 3, 7, 50, 1 << 20])
+def test_grams_of_long_texts_add_up(monkeypatch, part):
+    monkeypatch.setattr(language_id, "PART", part)
+    rng = random.Random(part)
+    texts = ["abc " * 100, "", " ", "a", "..", "ΑΣ ΑΣΒ", "x" * 200] + ["".join(rng.choice("ab  É.1") for _ in range(rng.randrange(120))) for _ in range(40)]
+    for t in texts:
+        codes, counts = language_id.grams(t)
+        assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == brute_grams(t), t
+    assert brute_grams(texts[0])[ord("a") << 42 | ord("b") << 21 | ord("c")] == 100
+
+
+def test_the_nearest_profile_equals_brute_force():
+    rng = random.Random(3)
+    size = 30
+    ranks = {k: rng.sample(range(40), size) for k in ("p", "q", "r")}
+    profiles = language_id.Profiles([(k, 97 + x, n) for k, v in ranks.items() for n, x in enumerate(v)], size)
+    for _ in range(60):
+        text = " ".join(chr(97 + rng.randrange(45)) for _ in range(rng.randrange(1, 80)))
+        own = [g for g, _ in sorted(brute_grams(text).items(), key=lambda x: (-x[1], x[0]))][:size]
+        away = {k: sum(min(size, abs(v.index(g - 97) - n)) if g - 97 in v else size for n, g in enumerate(own)) for k, v in ranks.items()}
+        best = min(sorted(away), key=away.get)
+        if any(map(str.isalpha, text)):
+            assert profiles.predict(text) == (best, pytest.approx(1 - away[best] / (size * len(own))))
 
 
 PATTERNS = [
@@ -122,6 +146,47 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def brute_hits(items, text, mask_hits=True):
+    """Every offset of every item at which some mask fits; the best run by trying all."""
+    w, out = re.findall(r"[^\W_]+", text.lower()), []
+    for i, item in items:
+        x, best = re.findall(r"[^\W_]+", item.lower()), None
+        for at in range(-len(x) + 1, len(w)):
+            a, b = max(0, at), min(len(w), at + len(x))
+            equal = [w[k] == x[k - at] for k in range(a, b)]
+            masks = decontamination.MASKS if len(x) >= 5 else ["1" * max(1, len(x))]
+            if not any(all(equal[k + j] for j, c in enumerate(m) if c == "1") for m in masks for k in range(len(equal) - len(m) + 1)):
+                continue
+            runs = [(sum(equal[p:q]), -p, q) for p in range(len(equal)) if equal[p] for q in range(p + 1, len(equal) + 1) if equal[q - 1] and 5 * sum(equal[p:q]) >= 4 * (q - p)]
+            if runs and (best is None or max(runs)[0] > best[0]):
+                best = max(runs)[0], a
+        if best and best[0] >= min(decontamination.LEAST, -(-4 * len(x) // 5)):
+            out.append((i, best[0]))
+    return out
+
+
+def test_hits_equal_brute_force_over_all_offsets(monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(decontamination, "HITS", 7)
+    for _ in range(150):
+        pool = [f"w{k}" for k in range(rng.choice([2, 6, 300]))]
+        items = [(k, " ".join(rng.choice(pool) for _ in range(rng.choice([1, 3, 5, 7, 16, 30])))) for k in range(4)]
+        parts = [rng.choice(items)[1].split() if rng.random() < 0.6 else [rng.choice(pool) for _ in range(rng.randrange(12))] for _ in range(3)]
+        text = " ".join("z" if rng.random() < 0.08 else w for p in parts for w in p)
+        got = decontamination.Items(items).hits(text)
+        assert [(i, e) for i, e, *_ in got] == brute_hits(items, text), (items, text)
+        for _, e, first, end in got:
+            assert 0 <= first < end <= len(text.split()) and 5 * e >= 4 * (end - first)
+
+
+def test_long_repetitive_texts():
+    items = decontamination.Items([(1, "na " * 60), (2, "na no " * 30), (3, "other words " * 8)])
+    t = time.monotonic()
+    assert [x[:2] for x in items.hits("na " * 20_000)] == [(1, 60)]
+    assert [x[:2] for x in items.hits("na no " * 10_000)] == [(2, 60)]
+    assert time.monotonic() - t < 4
+
+
 def test_best_run():
     a, b = np.array([9, 1, 2, 3, 0, 4, 5, 6, 7, 8]), np.array([8, 1, 2, 3, 4, 4, 5, 6, 7, 9])
     assert decontamination.overlap(a, b) == (7, 1, 9) or decontamination.overlap(a, b)[0] >= 4

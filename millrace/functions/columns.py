@@ -65,6 +65,11 @@ def _side(x: Name | Literal, scope: Scope) -> tuple[Column, T.DataType]:
 
 
 def comparison(c: Comparison, scope: Scope) -> Column:
+    """A name that is set equal to itself holds for every row, with a null or not."""
+    if c.op == "=" and isinstance(c.left, Name) and isinstance(c.right, Name):
+        (a, x), (b, y) = scope.find(c.left.text), scope.find(c.right.text)
+        if a is b and x.name == y.name:
+            return F.lit(True)
     sides = [(x, *_side(x, scope)) for x in (c.left, c.right)]
     (_, left, left_type), (_, right, right_type) = sides
     if (a := class_of(left_type)) != (b := class_of(right_type)):

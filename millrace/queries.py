@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import quoted
 from millrace.operators import relational as op
 from millrace.plans.statistics import Statistics, profile, tpch
-from millrace.session import Session
+from millrace.session import Session, main
 from millrace.sources.tables import SORTED, Store
 from millrace.sources.text import read_text, write_text
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -48,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Statements of the dialect, with the SQL that another engine gets for each.
+#: Statements of the dialect, known cases among them, with the SQL that another engine gets for each.
 STATEMENTS: dict[str, tuple[str, dict[str, int], str]] = {
     "filter_lt": (
         "SELECT l.l_orderkey, l.l_partkey, l.l_suppkey FROM lineitem AS l WHERE (l.l_discount < 0.03) AND (l.l_quantity > 45.0)", {},
@@ -74,6 +75,11 @@ STATEMENTS: dict[str, tuple[str, dict[str, int], str]] = {
         "SELECT l.l_orderkey, l.l_linenumber FROM lineitem AS l WHERE (l.l_tax > l.l_discount)", {},
         "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax > l_discount",
     ),
+    "filter_partsupp": (
+        "SELECT ps.ps_partkey, ps.ps_suppkey, ps.ps_availqty FROM partsupp AS ps WHERE (ps.ps_partkey < 100) AND (ps.ps_suppkey < 50)", {},
+        f"SELECT ps_partkey, ps_suppkey, ps_availqty FROM {PARTSUPP} WHERE ps_partkey < 100 AND ps_suppkey < 50",
+    ),
+    "filter_tautology": ("SELECT d.doc_id, d.n_chars FROM documents AS d WHERE (d.lang = d.lang) AND (d.text = d.text)", {}, "SELECT doc_id, n_chars FROM documents"),
     "filter_literal_left": ("SELECT p.p_partkey, p.p_size FROM part AS p WHERE (45 < p.p_size)", {}, "SELECT p_partkey, p_size FROM part WHERE 45 < p_size"),
     "filter_date": (
         "SELECT o_orderkey FROM orders AS o WHERE (o.o_orderdate > '1998-06-01') AND (o.o_orderdate < '1998-07-15')", {},
@@ -99,6 +105,15 @@ STATEMENTS: dict[str, tuple[str, dict[str, int], str]] = {
     ),
     "sum_neg": ("SELECT SUM (- l.l_linenumber + 3) FROM lineitem AS l WHERE (l.l_quantity > 0.0)", {}, "SELECT CAST(sum(-(l_linenumber + 3)) AS BIGINT) AS sum_result FROM lineitem"),
     "sum_int_div": ("SELECT SUM (p.p_size / 7) FROM part AS p WHERE (p.p_size > 0)", {}, "SELECT CAST(sum(p_size // 7) AS BIGINT) AS sum_result FROM part"),
+    "sum_int_div_negative": ("SELECT SUM ((3 - p.p_size) / 7) FROM part AS p WHERE (p.p_size > 0)", {}, "SELECT CAST(sum(trunc((3 - p_size) / 7.0)) AS BIGINT) AS sum_result FROM part"),
+    "sum_double_div": (
+        "SELECT SUM (l.l_extendedprice / l.l_quantity) FROM lineitem AS l WHERE (l.l_quantity > 0.0)", {"sum_result": 2},
+        "SELECT round(sum(l_extendedprice / l_quantity), 2) AS sum_result FROM lineitem",
+    ),
+    "sum_mixed_div": (
+        "SELECT SUM (p.p_retailprice / p.p_size) FROM part AS p WHERE (p.p_size > 0)", {"sum_result": 2},
+        "SELECT round(sum(p_retailprice / p_size), 2) AS sum_result FROM part",
+    ),
     "sum_empty": ("SELECT SUM (l.l_extendedprice) FROM lineitem AS l WHERE (l.l_quantity < 0.0)", {}, "SELECT coalesce(sum(l_extendedprice), 0.0) AS sum_result FROM lineitem WHERE l_quantity < 0.0"),
     "sum_distinct_int": ("SELECT SUM DISTINCT (p.p_size) FROM part AS p WHERE (p.p_size > 0)", {}, "SELECT CAST(sum(DISTINCT p_size) AS BIGINT) AS sum_result FROM part"),
     "sum_distinct_double": (
@@ -159,8 +174,8 @@ STATEMENTS: dict[str, tuple[str, dict[str, int], str]] = {
         """SELECT c1.c_name AS "c1.c_name", c2.c_name AS "c2.c_name" FROM customer c1 JOIN customer c2 ON c1.c_nationkey = c2.c_nationkey WHERE c1.c_name = 'Customer#000000070'""",
     ),
     "join_multi_key": (
-        "SELECT l.l_orderkey, l.l_linenumber, ps.ps_availqty FROM lineitem AS l, partsupp AS ps WHERE (l.l_partkey = ps.ps_partkey) AND (ps.ps_suppkey = l.l_suppkey) AND (l.l_orderkey < 200)", {},
-        f"SELECT l_orderkey, l_linenumber, ps_availqty FROM lineitem JOIN {PARTSUPP} ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey WHERE l_orderkey < 200",
+        "SELECT l.l_orderkey, l.l_linenumber, ps.ps_availqty FROM lineitem AS l, partsupp AS ps WHERE (l.l_partkey = ps.ps_partkey) AND (ps.ps_suppkey = l.l_suppkey)", {},
+        f"SELECT l_orderkey, l_linenumber, ps_availqty FROM lineitem JOIN {PARTSUPP} ON l_partkey = ps_partkey AND l_suppkey = ps_suppkey",
     ),
     "join_theta": ("SELECT s.s_suppkey, n.n_name FROM supplier AS s, nation AS n WHERE (s.s_nationkey < n.n_nationkey)", {}, "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey < n_nationkey"),
     "join_or": (
@@ -193,7 +208,7 @@ def _store(spark: SparkSession) -> Store:
 
 
 def sorted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the orders loaded, then the other half, merged by the first read; a lookup on the first key."""
+    """Half of the orders loaded, then the other half; a lookup on the first key in both."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     stored = _store(spark).create("orders", orders.schema, SORTED, ["o_custkey", "o_orderkey"])
     stored.append(orders.filter("o_orderkey % 2 = 0"))
@@ -216,18 +231,129 @@ def load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_text(spark, f"{store.path}/supplier.tbl", supplier.schema)
 
 
-def sort_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours out of order after a sort on two keys."""
-    at = "spark_partition_id() AS p, monotonically_increasing_id() AS i"
-    rows = op.sort(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "(o_custkey) AND (o_orderkey)").selectExpr("o_custkey", "o_orderkey", at.split(", ")[0], at.split(", ")[1])
-    key, w = F.struct("o_custkey", "o_orderkey"), Window.partitionBy("p").orderBy("i")
+def _violations(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many neighbours of sorted rows are out of order, in a partition or from one to the next."""
+    rows = rows.select(*keys, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    key, w = F.struct(*keys), Window.partitionBy("p").orderBy("i")
     inside = rows.select("p", (F.lag(key).over(w) > key).alias("bad")).agg(F.count_if("bad").alias("n"))
-    ends = rows.groupBy("p").agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    across = ends.alias("a").join(ends.alias("b"), F.col("a.p") < F.col("b.p")).agg(F.count_if(F.col("a.high") > F.col("b.low")).alias("n"))
+    ends = rows.groupBy("p").agg(F.min(key).alias("low"), F.max(key).alias("high"))  # a row for each partition
+    across = ends.select((F.lag("high").over(Window.orderBy("p")) > F.col("low")).alias("bad")).agg(F.count_if("bad").alias("n"))
     return inside.union(across).agg(F.sum("n").cast("bigint").alias("violations"))
 
 
-#: Predicates whose estimates are known, by relation names (and, where they differ, the tables behind them).
+def sort_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _violations(op.sort(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "(o_custkey) AND (o_orderkey)"), ["o_custkey", "o_orderkey"])
+
+
+def sorted_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of three appends, some merged, read in the order of its keys."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    stored = _store(spark).create("orders", orders.schema, SORTED, ["o_custkey", "o_orderkey"])
+    for k in range(2):
+        stored.append(orders.filter(f"o_orderkey % 3 = {k}"))
+    stored.compact(full=True)
+    stored.append(orders.filter("o_orderkey % 3 = 2"))
+    read = stored.sorted_scan()
+    return _violations(read, ["o_custkey", "o_orderkey"]).crossJoin(read.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total")))
+
+
+def sort_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sort's result as a stored table."""
+    return _store(spark).sink("part", table(spark, sf_dir, "part").select("p_size", "p_partkey"), ["p_size", "p_partkey"]).scan("(p_size = 7)")
+
+
+def order_on_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of a sorted table that names none: Ints, Doubles, then Strings."""
+    keys = _store(spark).create("part", table(spark, sf_dir, "part").schema, SORTED).keys
+    return spark.createDataFrame(list(enumerate(keys)), "nth int, name string")
+
+
+def _session_with_text(spark: SparkSession, sf_dir: str, name: str) -> tuple[Session, io.StringIO]:
+    """A session over a new store, in whose folder the table lies as text."""
+    store, out = _store(spark), io.StringIO()
+    write_text(table(spark, sf_dir, name), f"{store.path}/text/{name}.tbl")
+    return Session(spark, store.path, f"{store.path}/text", out=out), out
+
+
+def statement_heap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE, INSERT twice and SELECT."""
+    s, _ = _session_with_text(spark, sf_dir, "supplier")
+    s.execute("CREATE TABLE supplier (s_suppkey INTEGER, s_name STRING, s_nationkey INTEGER, s_acctbal DOUBLE) AS HEAP")
+    for _ in range(2):
+        s.execute("INSERT 'supplier.tbl' INTO supplier")
+    return s.query("SELECT s.s_suppkey, s.s_name FROM supplier AS s WHERE (s.s_acctbal > 1000.0)")
+
+
+def statement_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, _ = _session_with_text(spark, sf_dir, "nation")
+    s.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name STRING, n_regionkey INTEGER) AS SORTED ON n_regionkey, n_name")
+    s.execute("INSERT 'nation.tbl' INTO nation")
+    return s.query("SELECT SUM (n.n_nationkey), n.n_regionkey FROM nation AS n WHERE (n.n_regionkey > 0) GROUP BY n.n_regionkey")
+
+
+def statement_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of two tables after DROP, and after one of the same name is made anew."""
+    s, _ = _session_with_text(spark, sf_dir, "region")
+    for name in ("a", "b"):
+        s.execute(f"CREATE TABLE {name} (r_regionkey INTEGER, r_name STRING) AS HEAP")
+        s.execute(f"INSERT 'region.tbl' INTO {name}")
+    s.execute("DROP TABLE a")
+    left = s.store.names()
+    s.execute("CREATE TABLE a (r_regionkey INTEGER, r_name STRING) AS HEAP")
+    counts = s.table("a").agg(F.count("*").alias("n")).withColumn("name", F.lit("a")).union(s.table("b").agg(F.count("*").alias("n")).withColumn("name", F.lit("b")))
+    return counts.withColumn("left", F.lit(",".join(left)))
+
+
+def statement_output_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers written to a text file by a SELECT, doubles with six digits, in the file that SET OUTPUT names for sessions to come."""
+    store = _store(spark)
+    Session(spark, store.path).execute(f"SET OUTPUT '{store.path}/result'")
+    later = Session(spark, store.path)
+    later.register_parquet(sf_dir, "supplier")
+    later.execute("SELECT s.s_suppkey, s.s_acctbal FROM supplier AS s WHERE (s.s_suppkey < 30)")
+    return spark.read.text(f"{store.path}/result")
+
+
+def statement_stdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that a loop of statements prints, the count of records last; a line that is wrong is reported and the next one read."""
+    s, out = _session_with_text(spark, sf_dir, "region")
+    s.register_parquet(sf_dir, "region")
+    lines = ["SELECT r.r_name FROM region AS r WHERE (r.r_regionkey > 1)", "", "no statement", "SELECT SUM (r.r_regionkey) FROM region AS r WHERE (r.r_regionkey > 1)"]
+    main(spark, s, io.StringIO("\n".join(lines)))
+    return spark.createDataFrame([(x.partition(":")[0] if "Problem" in x else x,) for x in out.getvalue().splitlines()], "value string")
+
+
+def statement_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET OUTPUT NONE prints the plan and runs nothing; STDOUT goes back to rows."""
+    s, out = _session_with_text(spark, sf_dir, "region")
+    s.register_parquet(sf_dir, "region")
+    s.execute("SET OUTPUT NONE")
+    nothing = s.execute("SELECT r.r_name FROM region AS r WHERE (r.r_regionkey > 1)") is None
+    planned = "Physical Plan" in out.getvalue() and "Query returned" not in out.getvalue()
+    s.execute("SET OUTPUT STDOUT")
+    n = s.execute("SELECT r.r_name FROM region AS r WHERE (r.r_regionkey > 1)").count()
+    return spark.createDataFrame([(nothing, planned, f"Query returned {n} records" in out.getvalue(), n)], "no_rows boolean, planned boolean, trailer boolean, n long")
+
+
+def stats_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two predicates applied one after the other to statistics that are written and read in between, of this data's own counts."""
+    import tempfile
+
+    s = Statistics()
+    for name, keys in (("customer", ["c_custkey", "c_nationkey"]), ("orders", ["o_custkey", "o_orderkey"]), ("nation", ["n_nationkey"])):
+        counts = profile(table(spark, sf_dir, name).select(*keys), exact=True).first().asDict()
+        s.add_relation(name, counts.pop("num_tuples"))
+        for k, n in counts.items():
+            s.add_attribute(name, k, n)
+    first = s.apply("(o_custkey = c_custkey)", ["orders", "customer"])
+    with tempfile.TemporaryDirectory() as d:
+        s.write(f"{d}/statistics")
+        again = Statistics.read(f"{d}/statistics")
+    second = again.apply("(c_nationkey = n_nationkey) AND (o_orderkey = 7 OR o_orderkey < 100)", ["orders", "customer", "nation"])
+    return spark.createDataFrame([(round(first), round(second))], "joined long, chained long")
+
+
+#: Predicates whose estimates are known, by relation names (and, where they differ, the tables behind them).
 ESTIMATES: dict[str, tuple[list[tuple[str, str]], str, int]] = {
     "stats_estimate_or": ([("lineitem", "lineitem")], "(l_returnflag = 'R') AND (l_discount < 0.04 OR l_shipmode = 'MAIL')", 857316),
     "stats_estimate_join": ([("orders", "o"), ("customer", "c"), ("nation", "n")], "(c.c_nationkey = n.n_nationkey) AND (o.o_custkey = c.c_custkey)", 1500000),
@@ -261,6 +387,16 @@ QUERIES |= {
     "heap_append": heap_append,
     "load_text": load_text,
     "sort_violations": sort_violations,
+    "sorted_scan_order": sorted_scan_order,
+    "sort_sink": sort_sink,
+    "order_on_all": order_on_all,
+    "statement_heap": statement_heap,
+    "statement_sorted": statement_sorted,
+    "statement_drop": statement_drop,
+    "statement_output_file": statement_output_file,
+    "statement_stdout": statement_stdout,
+    "statement_none": statement_none,
+    "stats_chain": stats_chain,
 }
 QUERIES |= {name: _estimate(relations, where) for name, (relations, where, _) in ESTIMATES.items()}
 
@@ -276,5 +412,27 @@ ORACLE_SQL |= {
     "heap_append": "SELECT * FROM nation UNION ALL SELECT * FROM nation",
     "load_text": "SELECT * FROM supplier",
     "sort_violations": "SELECT CAST(0 AS BIGINT) AS violations",
+    "sorted_scan_order": "SELECT CAST(0 AS BIGINT) AS violations, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders",
+    "sort_sink": "SELECT p_size, p_partkey FROM part WHERE p_size = 7",
+    "order_on_all": "SELECT * FROM (VALUES (0, 'p_partkey'), (1, 'p_size'), (2, 'p_retailprice'), (3, 'p_name'), (4, 'p_brand'), (5, 'p_type')) AS v(nth, name)",
+    "statement_heap": "SELECT s_suppkey, s_name FROM supplier, (VALUES (1), (2)) AS twice WHERE s_acctbal > 1000.0",
+    "statement_sorted": "SELECT CAST(sum(n_nationkey) AS BIGINT) AS agg_result, n_regionkey FROM nation WHERE n_regionkey > 0 GROUP BY n_regionkey",
+    "statement_drop": "SELECT CAST(0 AS BIGINT) AS n, 'a' AS name, 'b' AS left UNION ALL SELECT count(*), 'b', 'b' FROM region",
+    "statement_output_file": "SELECT printf('s.s_suppkey: [%d], s.s_acctbal: [%g]', s_suppkey, s_acctbal) AS value FROM supplier WHERE s_suppkey < 30",
+    "statement_stdout": """
+        SELECT 'r.r_name: [' || r_name || ']' AS value FROM region WHERE r_regionkey > 1
+        UNION ALL SELECT 'Query returned ' || count(*) || ' records' FROM region WHERE r_regionkey > 1
+        UNION ALL SELECT 'SyntaxProblem' UNION ALL SELECT 'sum_result: [' || sum(r_regionkey) || ']' FROM region WHERE r_regionkey > 1
+        UNION ALL SELECT 'Query returned 1 records'
+    """,
+    "statement_none": "SELECT true AS no_rows, true AS planned, true AS trailer, count(*) AS n FROM region WHERE r_regionkey > 1",
+    "stats_chain": """
+        WITH o AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS cust, count(DISTINCT o_orderkey) AS key FROM orders),
+        c AS (SELECT count(*) AS n, count(DISTINCT c_custkey) AS cust, count(DISTINCT c_nationkey) AS nat FROM customer),
+        n AS (SELECT count(*) AS n, count(DISTINCT n_nationkey) AS nat FROM nation),
+        j AS (SELECT o.n * c.n / greatest(o.cust, c.cust) AS joined, o.key AS key, c.nat AS nat FROM o, c)
+        SELECT CAST(round(joined) AS BIGINT) AS joined,
+            CAST(round(trunc(joined) * n.n / greatest(trunc(least(j.nat, joined)), n.nat) * (1 - (1 - 1.0 / key) * (1 - 1.0 / 3))) AS BIGINT) AS chained FROM j, n
+    """,
 }
 ORACLE_SQL |= {name: f"SELECT CAST({value} AS BIGINT) AS estimate" for name, (_, _, value) in ESTIMATES.items()}

@@ -1,16 +1,19 @@
 """Stored tables: heaps, and tables sorted on keys.
 
-A table is a folder of Parquet data and of small description files. Rows are appended to
-a heap as further files. A sorted table keeps appended rows beside its sorted part, and
-merges them when it is next read: the merged rows go to a new folder, range-partitioned
-and sorted on the keys, then a new description names that folder, and the old one is
-deleted. So a reader sees one or the other state, and predicates on the first keys skip
-row groups by their bounds.
+A table is a folder of Parquet data and of small numbered description files, the latest of
+which lists the parts that make up the table. An append writes a part of its own, sorted on
+the keys in a sorted table, and then the next description; that number is taken by whoever
+creates the file first, and who comes second reads the new list and takes the number after
+it, so appends at the same time lose no rows. Reads change nothing: they take all parts
+listed, and predicates on the first keys skip row groups by their bounds. compact() merges
+parts of like size, so a row is rewritten a few times only however many appends there are;
+parts that are no longer listed stay for readers that began earlier, until vacuum().
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,8 @@ from millrace.plans.syntax import Cnf
 from millrace.sources.text import read_text
 
 HEAP, SORTED = "heap", "sorted"
+#: Parts of a tier that are merged into one of the next.
+TIER = 8
 
 
 class Files:
@@ -46,16 +51,37 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
-    def write(self, path: str, text: str) -> None:
-        """Complete or not there: written under another name first."""
+    def age(self, path: str) -> float:
+        """Seconds since it was last changed."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
+    def _put(self, path: str, text: str, overwrite: bool) -> None:
         fs, p = self._at(path)
-        _, draft = self._at(f"{path}.{uuid.uuid4().hex}.draft")
-        out = fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(draft, p)
+        out = fs.create(p, overwrite)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Replaces the file as one step: it is written under another name first, then renamed over the old one."""
+        draft = f"{path}.{uuid.uuid4().hex}.draft"
+        self._put(draft, text, True)
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        (_, source), (fs, target) = self._at(draft), self._at(path)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(source, target, options)
+
+    def create(self, path: str, text: str) -> bool:
+        """Writes a file that isn't there; False if it is, also if somebody else creates it just now."""
+        try:
+            self._put(path, text, False)
+        except Exception:
+            if self.exists(path):
+                return False
+            raise
+        return True
 
     def read(self, path: str) -> str:
         fs, p = self._at(path)
@@ -73,17 +99,28 @@ class Table:
         self.spark, self.path, self.files = spark, path, Files(spark)
 
     def _state(self) -> dict:
-        found = [n for n in self.files.names(self.path) if n.startswith("state-") and n.endswith(".json")]
-        if not found:
-            raise FileNotFoundError(f"no table at {self.path}")
-        return json.loads(self.files.read(f"{self.path}/{found[-1]}"))
-
-    def _become(self, state: dict) -> None:
-        state["number"] += 1
-        self.files.write(f"{self.path}/state-{state['number']:08d}.json", json.dumps(state))
-        for n in self.files.names(self.path):
-            if n.startswith("state-") and n < f"state-{state['number']:08d}.json":
-                self.files.delete(f"{self.path}/{n}")
+        """The latest description that is complete. One that stays incomplete was left by a writer that died, and doesn't count."""
+        for wait in (0.0, 0.1, 0.4, 1.5):
+            time.sleep(wait)
+            found = [n for n in self.files.names(self.path) if n.startswith("state-") and n.endswith(".json")]
+            if not found:
+                raise FileNotFoundError(f"no table at {self.path}")
+            states = [self._parsed(n) for n in found[-1:]]
+            if states[0] is not None:
+                return states[0]
+        earlier = [x for n in found if (x := self._parsed(n)) is not None]
+        return earlier[-1] | {"number": int(found[-1][6:-5])}
+
+    def _parsed(self, name: str) -> dict | None:
+        try:
+            return json.loads(self.files.read(f"{self.path}/{name}"))
+        except ValueError:
+            return None
+
+    def _become(self, state: dict) -> bool:
+        """Whether this is now the table's description; False if somebody else's came first."""
+        state = state | {"number": state["number"] + 1}
+        return self.files.create(f"{self.path}/state-{state['number']:08d}.json", json.dumps(state))
 
     @property
     def kind(self) -> str:
@@ -102,38 +139,49 @@ class Table:
         self.append(read_text(self.spark, path, self.schema))
 
     def append(self, df: DataFrame) -> None:
+        """Adds the rows as a part."""
         state = self._state()
         rows = df.select(*(quoted(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields))
-        folder = state["data"] if state["kind"] == HEAP else f"added-{uuid.uuid4().hex}"
-        rows.write.mode("append").parquet(f"{self.path}/{folder}")
-        if state["kind"] == SORTED:
-            state["added"].append(folder)
-            self._become(state)
+        part = self._written(rows, state, 0)
+        while not self._become(state | {"parts": [*state["parts"], part]}):
+            state = self._state()
 
-    def compact(self) -> None:
-        """Merges appended rows into the sorted part."""
+    def _written(self, rows: DataFrame, state: dict, tier: int) -> dict:
+        folder = f"part-{uuid.uuid4().hex}"
+        if state["kind"] == SORTED:
+            keys = [quoted(k) for k in state["keys"]]
+            rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        rows.write.parquet(f"{self.path}/{folder}")
+        return {"folder": folder, "tier": tier}
+
+    def compact(self, full: bool = False) -> None:
+        """Merges parts: where a tier has `TIER` parts or more, they become one of the next; with full all become one."""
+        while True:
+            state = self._state()
+            tiers = {p["tier"] for p in state["parts"]}
+            old = state["parts"] if full else next((same for t in sorted(tiers) if len(same := [p for p in state["parts"] if p["tier"] == t]) >= TIER), [])
+            if len(old) < 2:
+                return
+            part = self._written(self._read(old), state, max(p["tier"] for p in old) + 1)
+            while all(p in state["parts"] for p in old) and not self._become(state | {"parts": [part, *(p for p in state["parts"] if p not in old)]}):
+                state = self._state()  # parts may have come, or somebody else has merged these: then ours isn't listed and goes with vacuum()
+
+    def vacuum(self, older_than: float = 86_400.0) -> None:
+        """Deletes parts and descriptions that the table no longer needs, and that are that many seconds old."""
         state = self._state()
-        if state["kind"] == HEAP or not state["added"]:
-            return
-        old = [state["data"], *state["added"]]
-        rows = self._read([f for f in old if self.files.exists(f"{self.path}/{f}")])
-        state |= {"data": f"data-{uuid.uuid4().hex}", "added": []}
-        keys = [quoted(k) for k in state["keys"]]
-        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.path}/{state['data']}")
-        self._become(state)
-        for f in old:
-            self.files.delete(f"{self.path}/{f}")
-
-    def _read(self, folders: list[str]) -> DataFrame:
-        if not folders:
+        needed = {p["folder"] for p in state["parts"]} | {f"state-{state['number']:08d}.json"}
+        for n in self.files.names(self.path):
+            if n not in needed and (n.startswith("part-") or n < f"state-{state['number']:08d}.json" and n.startswith("state-")) and self.files.age(f"{self.path}/{n}") >= older_than:
+                self.files.delete(f"{self.path}/{n}")
+
+    def _read(self, parts: list[dict]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders))
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{p['folder']}" for p in parts))
 
     def scan(self, where: str | Cnf | None = None) -> DataFrame:
-        """The rows, or those that satisfy the predicate, in no order. A sorted table is merged first."""
-        self.compact()
-        data = self._state()["data"]
-        df = self._read([data] if self.files.exists(f"{self.path}/{data}") else [])
+        """The rows, or those that satisfy the predicate, in no order."""
+        df = self._read(self._state()["parts"])
         return select_pipe(df, where) if where else df
 
     def sorted_scan(self, where: str | Cnf | None = None) -> DataFrame:
@@ -158,7 +206,14 @@ class Store:
         if kind == SORTED and not keys:
             keys = order_on_all(self.spark.createDataFrame([], schema))
         table = Table(self.spark, f"{self.path}/{name}")
-        table._become({"number": 0, "kind": kind, "keys": list(keys or []), "schema": schema.jsonValue(), "data": f"data-{uuid.uuid4().hex}", "added": []})
+        if not table._become({"number": 0, "kind": kind, "keys": list(keys or []), "schema": schema.jsonValue(), "parts": []}):
+            raise ValueError(f"there is a table {name}")
+        return table
+
+    def sink(self, name: str, df: DataFrame, keys: list[str] | None = None) -> Table:
+        """A new sorted table with the rows of df."""
+        table = self.create(name, df.schema, SORTED, keys)
+        table.append(df)
         return table
 
     def open(self, name: str) -> Table:

@@ -1,5 +1,6 @@
 import io
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -89,15 +90,24 @@ def test_text_files(spark, tmp_path):
     assert tuple(malformed(spark, str(tmp_path / "t.tbl"), schema).first()) == (1, 1)
 
 
-def test_sorted_tables_merge_on_read(spark, tmp_path):
+def test_sorted_tables(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     t = store.create("t", schema_of([("a", "Int"), ("s", "String")]), SORTED, ["s"])
+    parts = lambda: [n for n in store.files.names(t.path) if n.startswith("part-")]
     assert t.scan().count() == 0
     for part in ([(1, "d"), (2, "b")], [(3, "a"), (4, "c"), (5, "b")]):
         t.append(spark.createDataFrame(part, "a int, s string"))
-    assert [r.s for r in t.sorted_scan().collect()] == ["a", "b", "b", "c", "d"]
-    assert len([n for n in store.files.names(t.path) if not n.startswith("state")]) == 1
-    assert rows(t.scan("(s = 'b')")) == [(2, "b"), (5, "b")]
+    began = t.scan()
+    assert [r.s for r in t.sorted_scan().collect()] == ["a", "b", "b", "c", "d"] and len(parts()) == 2  # reads change nothing
+    t.compact()
+    assert len(parts()) == 2  # too few to merge
+    t.compact(full=True)
+    assert rows(t.scan("(s = 'b')")) == [(2, "b"), (5, "b")] and len(t._state()["parts"]) == 1
+    assert began.count() == 5  # a reader that began before keeps its files
+    t.vacuum()
+    assert len(parts()) == 3
+    t.vacuum(0)
+    assert len(parts()) == 1 and t.scan().count() == 5
     assert store.create("u", schema_of([("s", "String"), ("a", "Int")]), SORTED).keys == ["a", "s"]
     assert store.names() == ["t", "u"]
     store.drop("t")
@@ -108,6 +118,44 @@ def test_sorted_tables_merge_on_read(spark, tmp_path):
         store.create("u", schema_of([("a", "Int")]))
     with pytest.raises(ValueError):
         store.create("v", schema_of([("a", "Int")]), SORTED, ["b"])
+    made = store.sink("w", spark.createDataFrame([(2, "x"), (1, "y")], "a int, s string"))
+    assert made.keys == ["a", "s"] and [r.a for r in made.sorted_scan().collect()] == [1, 2]
+
+
+def test_appends_at_the_same_time_lose_nothing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    t = store.create("t", schema_of([("a", "Int")]), SORTED, ["a"])
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: store.open("t").append(spark.range(k, k + 1).selectExpr("cast(id as int) AS a")), range(12)))
+    assert sorted(r.a for r in t.scan().collect()) == list(range(12)) and t._state()["number"] == 13
+    t.compact()
+    assert sorted(r.a for r in t.scan().collect()) == list(range(12)) and sorted(p["tier"] for p in t._state()["parts"]) == [1]
+    (tmp_path / "store" / "t" / "state-00000099.json").write_text("{")  # a writer died here
+    t.append(spark.range(12, 13).selectExpr("cast(id as int) AS a"))
+    assert t.scan().count() == 13 and t._state()["number"] == 100
+    state = t._state()
+    t.append(spark.range(1).selectExpr("cast(id as int) AS a"))
+    assert not t._become(state)  # the number is taken
+    store.files.write(f"{store.path}/x.json", "old")
+    store.files.write(f"{store.path}/x.json", "new")
+    assert store.files.read(f"{store.path}/x.json") == "new" and not store.files.create(f"{store.path}/x.json", "other")
+
+
+def test_a_name_equal_to_itself_is_a_full_scan(spark):
+    df = spark.createDataFrame([(1, None), (None, "a"), (2, "b")], "x int, s string")
+    assert op.select_pipe(df, "(x = x) AND (s = s)").count() == 3
+    assert op.select_pipe(df, "(x = x OR x > 5)").count() == 3 and op.select_pipe(df, "(x < x)").count() == 0
+    s = Session(spark)
+    s.register("t", df)
+    assert s.query("SELECT a.x FROM t AS a WHERE (a.x = a.x)").count() == 3
+    assert s.query("SELECT a.x FROM t AS a, t AS b WHERE (a.x = b.x)").count() == 2
+
+
+def test_division(t):
+    assert rows(op.sum_(t, "z / 2")) == [(0.75,)] and rows(op.sum_(t, "x / 2.0")) == [(3.5,)]
+    assert rows(op.sum_(t, "(0 - x) / 2")) == [(-3 + 3 - 3,)]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        op.sum_(t, "z / 0.0").collect()
 
 
 def test_session(spark, tmp_path):

@@ -5,20 +5,24 @@ and the documents are laid one after another in ascending id order. The ids are
 blocks of `BLOCK`. A block is coded on its own: its models start anew, it has the CRC-32
 of its ids, and it says which documents it holds parts of.
 
-The coder predicts each id three ways: order 2, the id that last followed the two ids
-before; order 1, the one that last followed the id before; order 0, the class of the id,
-which is its number of bits. A symbol tells which prediction came true, its probability a
-mixture of three counts that adapt: of the block so far, after the last id's class, and
-where the two predictions were trusted as much as now. Bits below the class are coded
-evenly. All arithmetic is in integers, so any machine decodes alike. Many blocks go
-through the coder side by side, one in each lane of an array.
+An id is coded as its rank in the block's alphabet, the sorted list of its ids, which the block
+begins with (differences in Rice code). Three predictions of the next id are mixed. Order 0
+gives each id of the alphabet a share by how often it came so far. Order 1 and order 2 each
+name the id that best followed the one or two ids before, in a slot that trusts it more the
+more often it held. Their weights beside order 0 adapt: they are learnt, block by block, for each
+trust in the two and for whether they agree, from which came true. The mixture is arithmetic
+coded in two steps: the 64 ranks that the id is among, then which of these, with the
+predicted ids' weights added to the counts in both. All arithmetic is in integers, so any
+machine decodes alike. Many blocks go through the coder side by side, one in each lane of an
+array.
 
 File format (little-endian), one binary value for each block: magic `MRTB`, version (u8),
-bits of the class (u8), ids (u32), CRC-32 of the ids as u32s (u32), parts of documents
-(u32), payload words (u32); for each part u32 first id, u32 ids, u8 flags (1: begins here,
-2: ends here) and i64 doc_id; then the payload as u16 words. A file is a Parquet
-container of (part, block, first, n, doc, data): the files are in order, and so are the
-blocks of each.
+0 (u8), ids (u32), CRC-32 of the ids as u32s (u32), parts of documents (u32), payload words
+(u32); for each part u32 first id, u32 ids, u8 flags (1: begins here, 2: ends here) and i64
+doc_id; then the payload as u16 words: ranks (two words), the parameter of the Rice code, the
+code's quotients and remainders, each from a new word on, and what the range coder put out. A
+file is a Parquet container of (part, block, first, n, doc, data): the files are in order, and so
+are the blocks of each.
 
 Defined results: a null or empty text is its end id alone. Rows that repeat an id are
 written each, in order of their texts. Null ids come first and are read as null. An empty
@@ -31,7 +35,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +46,11 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import scratch, texts
 
 #: Ids of a block, blocks that are coded side by side, words whose ids are kept.
-BLOCK, LANES, KEPT = 2048, 2048, 300_000
-MAGIC, VERSION, NULL_ID = b"MRTB", 1, -(2**63)
+BLOCK, LANES, KEPT = 1 << 16, 128, 300_000
+MAGIC, VERSION, NULL_ID = b"MRTB", 2, -(2**63)
 HEAD, PART = struct.Struct("<4sBBIIII"), struct.Struct("<IIBq")
-_ORDER1, _ORDER2 = 512, 1024
+#: Ranks of a group, bits of the slots of order 2, what a count grows by, sum of weights from which they are halved.
+_GROUP, _ORDER2, _GROWTH, _WEIGHTS = 64, 16, 2, 400
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
 
@@ -55,7 +60,7 @@ class _Range:
 
     def __init__(self, lanes: int, data: list[np.ndarray] | None, room: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
+        self.at, self.rows = np.zeros(lanes, np.int64), {}
         self.decodes = data is not None
         if data is None:
             self.words = np.zeros((lanes, room), np.uint16)
@@ -72,27 +77,21 @@ class _Range:
         """Codes a symbol in lanes 0 .. m - 1; counts: how often each symbol is expected, a row for each lane."""
         low, whole = self.low[:m], self.range[:m]
         n = counts.shape[1]
-        ends = counts.astype(np.float32) @ np.triu(np.ones((n, n), np.float32))  # running sums, all below 2**24
-        whole //= ends[:, -1].astype(np.uint64)
+        ends = np.cumsum(counts, 1, dtype=np.int64).view(np.uint64)
+        whole //= ends[:, -1]
         if given is None:
-            given = (ends <= np.minimum((self.code[:m] - low) // whole, 2**23).astype(np.float32)[:, None]).sum(1)
-            np.minimum(given, n - 1, out=given)
-        at = np.arange(m) * n + given
-        size = counts.take(at).astype(np.uint64)
-        low += whole * (ends.take(at).astype(np.uint64) - size)
+            at = np.minimum((self.code[:m] - low) // whole, ends[:, -1] - np.uint64(1))
+            given = (ends <= at[:, None]).sum(1)
+        at = self.rows[n][:m] + given if n in self.rows else self._rows(n)[:m] + given
+        size = counts.take(at).view(np.uint64)
+        low += whole * (ends.take(at) - size)
         whole *= size
         self._shift(m)
         return given
 
-    def even(self, m: int, bits: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """Codes numbers of so many bits, at most 16, each equally likely."""
-        low, whole = self.low[:m], self.range[:m]
-        whole >>= bits.astype(np.uint64)
-        if value is None:
-            value = np.minimum((self.code[:m] - low) // whole, (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1)).astype(np.int64)
-        low += whole * value.astype(np.uint64)
-        self._shift(m)
-        return value
+    def _rows(self, n: int) -> np.ndarray:
+        self.rows[n] = np.arange(len(self.low)) * n
+        return self.rows[n]
 
     def _shift(self, m: int) -> None:
         low, whole = self.low[:m], self.range[:m]
@@ -118,82 +117,121 @@ class _Range:
         return [self.words[k, :n].copy() for k, n in enumerate(self.at)]
 
 
-def _class(value: np.ndarray) -> np.ndarray:
-    """Bits of positive numbers, less one."""
-    return np.frexp(value.astype(np.float64))[1].astype(np.int64) - 1
+def _alphabet_words(alphabet: np.ndarray) -> np.ndarray:
+    """The sorted ids of a block as words."""
+    gaps = np.diff(alphabet, prepend=-1) - 1
+    k = min(range(32), key=lambda k: int((gaps >> k).sum()) + len(gaps) * k)
+    unary = np.zeros(int((gaps >> k).sum()) + len(gaps), np.uint8)
+    unary[np.cumsum((gaps >> k) + 1) - 1] = 1
+    rest = (gaps[:, None] >> np.arange(k) & 1).astype(np.uint8).ravel()
+    return np.concatenate([np.array([len(gaps) & 0xFFFF, len(gaps) >> 16, k], np.uint16), *(_bit_words(x) for x in (unary, rest))])
+
+
+def _bit_words(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(np.append(bits, np.zeros(-len(bits) % 16, np.uint8)), bitorder="little").view("<u2").astype(np.uint16)
+
+
+def _alphabet(words: np.ndarray) -> tuple[np.ndarray, int]:
+    """The ids, and how many words they take."""
+    n, k = int(words[0]) | int(words[1]) << 16, int(words[2])
+    bits = np.unpackbits(words[3:].astype("<u2").view(np.uint8), bitorder="little")
+    ones = np.flatnonzero(bits)[:n]
+    at = -(-(int(ones[-1]) + 1) // 16) * 16
+    rest = bits[at : at + n * k].reshape(n, k).astype(np.int64) << np.arange(k)
+    return np.cumsum(((np.diff(ones, prepend=-1) - 1) << k) + rest.sum(1) + 1) - 1, 3 + at // 16 + -(-n * k // 16)
 
 
-def _code(sizes: list[int], class_bits: int, ids: list[np.ndarray] | None, data: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Encodes ids, or decodes data, of blocks of these sizes, longest first."""
-    lanes, most, classes = len(sizes), max(sizes), 1 << class_bits
-    coder = _Range(lanes, data, most * (class_bits // 4 * 2 + 1) + 16)
-    table = np.zeros((most, lanes), np.int64)
-    for k, x in enumerate(ids or []):
+def _code(sizes: list[int], letters: list[int], ranks: list[np.ndarray] | None, data: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Encodes ranks, or decodes data, of blocks of these sizes, longest first, with so many ranks each."""
+    lanes, most, groups = len(sizes), max(sizes), -(-max(letters) // _GROUP)
+    coder = _Range(lanes, data, most * 4 + 16)
+    table = np.zeros((most, lanes), np.int32)
+    for k, x in enumerate(ranks or []):
         table[: len(x), k] = x
-    width = classes + 2
-    # Each lane's own tables, flat. Four times the predicted id, plus how often it has held, up to 3.
-    next1, next2 = (np.zeros(lanes * n, np.int32 if class_bits == 4 else np.int64) for n in (_ORDER1, _ORDER2))
-    base1, base2 = np.arange(lanes) * _ORDER1, np.arange(lanes) * _ORDER2
-    # Symbols: the class of an id that isn't predicted, then a hit of order 1, then one of order 2.
-    count = np.uint16 if most * 28 < 65000 else np.uint32
-    alone, after, trusted = np.ones((lanes, width), count), np.zeros((lanes * classes, width), count), np.zeros((lanes * 16, width), count)
-    flat_alone, flat_after, flat_trusted = alone.ravel(), after.ravel(), trusted.ravel()
-    base_alone, base_after, base_trusted = np.arange(lanes) * width, np.arange(lanes) * classes, np.arange(lanes) * 16
-    slot1, slot2, kind = (np.zeros(lanes, np.int64) for _ in range(3))
+    # Each lane's own tables, flat: counts of ranks and of groups; four times the predicted rank, plus the trust in it.
+    count = (np.arange(groups * _GROUP) < np.array(letters)[:, None]).astype(np.int32)
+    by_group = count.reshape(lanes, groups, _GROUP).sum(2, dtype=np.int64)
+    rows, flat, flat_groups = count.reshape(-1, _GROUP), count.ravel(), by_group.ravel()
+    total = np.array(letters, np.int64)
+    next1, next2 = np.zeros(lanes * groups * _GROUP, np.int32), np.zeros(lanes << _ORDER2, np.int32)
+    # Weights by lane, trust in both and whether both agree: neither, order 1, order 2.
+    weights = np.ones((lanes * 32, 3), np.int64)
+    flat_weights = weights.ravel()
+    lane = np.arange(lanes)
+    base_group, base1, base2, base_context, base_row = lane * groups, lane * (groups * _GROUP), lane << _ORDER2, lane * 32, lane * _GROUP
+    last, slot = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     alive = np.searchsorted(-np.array(sizes), -np.arange(most), "left")  # lanes that have an id at each place
 
     for t in range(most):
         m = int(alive[t])
-        at1, at2 = base1[:m] + slot1[:m], base2[:m] + slot2[:m]
+        at1, at2 = base1[:m] + last[:m], base2[:m] + slot[:m]
         held1, held2 = next1.take(at1), next2.take(at2)
-        said1, said2, trust1, trust2 = held1 >> 2, held2 >> 2, held1 & 3, held2 & 3
-        row_after, row_trusted = base_after[:m] + kind[:m], base_trusted[:m] + (trust2 * 4 + trust1)
-        true = None
-        if ids is not None:
-            true = table[t, :m]
-            size = _class(true + 1)
-            given = np.where(true == said2, classes + 1, np.where(true == said1, classes, size))
-        counts = after.take(row_after, 0)
-        counts += trusted.take(row_trusted, 0)
-        counts += alone[:m]
-        symbol = coder.symbol(m, counts, None if true is None else given)
-        flat_alone[base_alone[:m] + symbol] += 4
-        flat_after[row_after * width + symbol] += 12
-        flat_trusted[row_trusted * width + symbol] += 12
-        plain = symbol < classes
-        bits = symbol * plain
-        rest = None if true is None else (true + 1 - (1 << bits)) * plain
-        if class_bits > 4:
-            high = np.maximum(bits - 16, 0)
-            top = coder.even(m, high, None if rest is None else rest >> 16)
-            rest = (top << 16) + coder.even(m, bits - high, None if rest is None else rest & 0xFFFF)
-        else:
-            rest = coder.even(m, bits, rest)
+        said1, said2 = held1 >> 2, held2 >> 2
+        trust1, trust2 = held1 & 3, held2 & 3
+        context = base_context[:m] + (trust2 * 4 + trust1) * 2 + (said1 == said2)
+        weight = weights.take(context, 0)
+        more = np.minimum(weight[:, 1:] * total[:m, None] // weight[:, :1], total[:m, None] << 8)
+        more1, more2 = more[:, 0], more[:, 1]
+        group1, group2 = said1 >> 6, said2 >> 6
+        true = None if ranks is None else table[t, :m]
+
+        counts = by_group[:m].copy()
+        view = counts.ravel()
+        view[base_group[:m] + group1] += more1
+        view[base_group[:m] + group2] += more2
+        group = coder.symbol(m, counts, None if true is None else true >> 6)
+        row = base_group[:m] + group
+        counts = rows.take(row, 0).astype(np.int64)
+        view = counts.ravel()
+        view[base_row[:m] + (said1 & 63)] += more1 * (group1 == group)
+        view[base_row[:m] + (said2 & 63)] += more2 * (group2 == group)
+        which = coder.symbol(m, counts, None if true is None else true & 63)
         if true is None:
-            true = np.where(plain, (1 << bits) + rest - 1, np.where(symbol == classes, said1, said2))
+            true = group * _GROUP + which
             table[t, :m] = true
-            size = _class(true + 1)
-        next1[at1] = true * 4 + np.minimum(trust1 + 1, 3) * (said1 == true)
-        next2[at2] = true * 4 + np.minimum(trust2 + 1, 3) * (said2 == true)
-        kind[:m] = size
-        spread = true * 40503
-        slot2[:m] = (spread ^ slot1[:m] * 1973) >> 3 & _ORDER2 - 1  # the slot of order 1 stands for the id before
-        slot1[:m] = spread >> 4 & _ORDER1 - 1
-    return coder.finished() if ids is not None else [table[:n, k] for k, n in enumerate(sizes)]
-
-
-def encode_blocks(blocks: list[np.ndarray], class_bits: int = 4) -> list[np.ndarray]:
-    """Payloads of blocks of at most 2**18 ids; class_bits 4 for ids below 65535, 5 for those below 2**32 - 1."""
+
+        flat[row * _GROUP + which] += _GROWTH
+        flat_groups[row] += _GROWTH
+        total[:m] += _GROWTH
+        hit1, hit2 = said1 == true, said2 == true
+        flat_weights[context * 3 + np.where(hit2, 2, hit1)] += 1
+        if t & 127 == 127:
+            weights[weights.sum(1) > _WEIGHTS] += 1
+            weights[weights.sum(1) > _WEIGHTS] >>= 1
+        # A prediction that fails is trusted less, one without trust is replaced.
+        fresh = true << 2
+        next1[at1] = np.where(hit1, held1 + (trust1 < 3), np.where(trust1 > 0, held1 - 1, fresh))
+        next2[at2] = np.where(hit2, held2 + (trust2 < 3), np.where(trust2 > 0, held2 - 1, fresh))
+        now = true.astype(np.int64)
+        slot[:m] = (now * 2654435761 + last[:m] * 40503 * 65537) >> 13 & (1 << _ORDER2) - 1
+        last[:m] = now
+    return coder.finished() if ranks is not None else [table[:n, k].astype(np.int64) for k, n in enumerate(sizes)]
+
+
+def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """Payloads of blocks of at most 2**18 ids below 2**32 - 1."""
     if max(map(len, blocks), default=0) > 1 << 18:
         raise ValueError("a block has at most 2**18 ids")
-    return _ordered(blocks, [len(x) for x in blocks], lambda some, sizes: _code(sizes, class_bits, some, None))
 
+    def run(some: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+        found = [np.unique(x, return_inverse=True) for x in some]
+        coded = _code(sizes, [len(a) for a, _ in found], [r for _, r in found], None)
+        return [np.concatenate([_alphabet_words(a), x]) for (a, _), x in zip(found, coded, strict=True)]
+
+    return _ordered(blocks, [len(x) for x in blocks], run)
+
+
+def decode_blocks(payloads: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+    def run(some: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+        found = [_alphabet(x) for x in some]
+        ranks = _code(sizes, [len(a) for a, _ in found], None, [x[n:] for (_, n), x in zip(found, some, strict=True)])
+        return [a[np.minimum(r, len(a) - 1)] for (a, _), r in zip(found, ranks, strict=True)]
 
-def decode_blocks(payloads: list[np.ndarray], sizes: list[int], class_bits: int = 4) -> list[np.ndarray]:
-    return _ordered(payloads, sizes, lambda some, sizes: _code(sizes, class_bits, None, some))
+    return _ordered(payloads, sizes, run)
 
 
-def _ordered(items, sizes, run):  # noqa: ANN001, ANN202
+def _ordered(items: list[np.ndarray], sizes: list[int], run: Callable) -> list[np.ndarray]:
+    """run() on all that isn't empty, longest first."""
     order = sorted(range(len(items)), key=lambda k: -sizes[k])
     out = [np.zeros(0, np.int64)] * len(items)
     order = [k for k in order if sizes[k]]
@@ -259,8 +297,8 @@ def word_ids(path: str) -> WordIds:
     return _by_path[path]
 
 
-def packed(ids: np.ndarray, class_bits: int, spans: list[tuple], payload: np.ndarray) -> bytes:
-    head = HEAD.pack(MAGIC, VERSION, class_bits, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(spans), len(payload))
+def packed(ids: np.ndarray, spans: list[tuple], payload: np.ndarray) -> bytes:
+    head = HEAD.pack(MAGIC, VERSION, 0, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(spans), len(payload))
     return head + b"".join(PART.pack(*s) for s in spans) + payload.astype("<u2").tobytes()
 
 
@@ -272,7 +310,6 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(tokenizer)
-        class_bits = 4 if ids.width is np.uint16 else 5
         part, number, first, doc = TaskContext.get().partitionId(), 0, 0, 0
         end = np.array([end_id], ids.width).tobytes()
         ready: list[tuple[int, bytes, list]] = []  # first document, ids, parts
@@ -282,8 +319,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str =
             nonlocal number, first, ready
             numbers = [np.frombuffer(x, ids.width).astype(np.int64) for _, x, _ in ready]
             rows = []
-            for (d, _, spans), x, payload in zip(ready, numbers, encode_blocks(numbers, class_bits), strict=True):
-                rows.append((part, number, first, len(x), d, packed(x, class_bits, spans, payload)))
+            for (d, _, spans), x, payload in zip(ready, numbers, encode_blocks(numbers), strict=True):
+                rows.append((part, number, first, len(x), d, packed(x, spans, payload)))
                 number, first = number + 1, first + len(x)
             ready = []
             cols = zip(*rows, strict=True)
@@ -324,14 +361,10 @@ def blocks_of(batches: Iterator[pa.RecordBatch], lanes: int = LANES) -> Iterator
     held: list[tuple] = []
 
     def decoded() -> Iterator[tuple]:
-        by_bits: dict[int, list[tuple]] = {}
-        for x in held:
-            by_bits.setdefault(x[3][2], []).append(x)
-        for bits, some in by_bits.items():
-            for (part, first, doc, head, spans, _), ids in zip(some, decode_blocks([x[5] for x in some], [x[3][3] for x in some], bits), strict=True):
-                if zlib.crc32(ids.astype("<u4").tobytes()) != head[4]:
-                    raise ValueError(f"block of part {part} at id {first}: wrong checksum")
-                yield part, first, doc, ids, spans
+        for (part, first, doc, head, spans, _), ids in zip(held, decode_blocks([x[5] for x in held], [x[3][3] for x in held]), strict=True):
+            if zlib.crc32(ids.astype("<u4").tobytes()) != head[4]:
+                raise ValueError(f"block of part {part} at id {first}: wrong checksum")
+            yield part, first, doc, ids, spans
 
     for b in batches:
         for part, first, doc, data in zip(*(b.column(n).to_pylist() for n in ("part", "first", "doc", "data")), strict=True):

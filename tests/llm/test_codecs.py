@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import sentencepiece_codec, token_blocks
@@ -82,19 +83,40 @@ def test_word_ids_equal_the_librarys():
         assert np.frombuffer(x, w.width).tolist() == e.ids, t
 
 
-@pytest.mark.parametrize("bits", [4, 5])
-def test_blocks_round_trip(bits):
+@pytest.mark.parametrize("top", [65534, 2**32 - 2])
+def test_blocks_round_trip(top):
     rng = np.random.default_rng(5)
-    top = 65534 if bits == 4 else 2**32 - 2
     blocks = [rng.integers(0, top, n) for n in (1, 700, 3, 0, 64)] + [np.zeros(900, np.int64), np.tile([top, 0, 7], 200), rng.integers(0, 40, 500) ** 2]
-    payloads = token_blocks.encode_blocks(blocks, bits)
-    back = token_blocks.decode_blocks(payloads, [len(b) for b in blocks], bits)
+    payloads = token_blocks.encode_blocks(blocks)
+    back = token_blocks.decode_blocks(payloads, [len(b) for b in blocks])
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back, strict=True))
     assert len(payloads[5]) < 20 and len(payloads[6]) < 150  # what repeats is predicted
-    alone = token_blocks.encode_blocks(blocks[1:2], bits)[0]
+    alone = token_blocks.encode_blocks(blocks[1:2])[0]
     assert (alone == payloads[1]).all()  # a block doesn't depend on its neighbours
 
 
+def test_alphabets_round_trip():
+    rng = np.random.default_rng(6)
+    for n, top in ((1, 2**32 - 2), (2, 2**32 - 2), (300, 400), (5000, 49_000), (900, 2**32 - 2)):
+        x = np.unique(rng.integers(0, top + 1, n))
+        words = token_blocks._alphabet_words(x)
+        got, size = token_blocks._alphabet(np.concatenate([words, np.full(9, 0xFFFF, np.uint16)]))
+        assert (got == x).all() and size == len(words)
+
+
+def test_blocks_are_smaller_than_order_0_and_zlib():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()
+    w = token_blocks.WordIds(WORDS)
+    ids = np.concatenate([np.append(np.frombuffer(x, w.width), 2) for x in w.encode([t or "" for _, t in sorted(zip(docs["doc_id"], docs["text"], strict=True))])]).astype(np.int64)
+    blocks = [ids[k : k + token_blocks.BLOCK] for k in range(0, len(ids) - token_blocks.BLOCK + 1, token_blocks.BLOCK)]
+    assert len(blocks) > 2
+    payloads = token_blocks.encode_blocks(blocks)
+    for b, x in zip(blocks, payloads, strict=True):
+        share = np.unique(b, return_counts=True)[1] / len(b)
+        assert 16 * len(x) < -len(b) * (share * np.log2(share)).sum() and 2 * len(x) < len(zlib.compress(b.astype("<u2").tobytes(), 9))
+    assert all((a == b).all() for a, b in zip(blocks, token_blocks.decode_blocks(payloads, [len(b) for b in blocks]), strict=True))
+
+
 def test_crc_of_joined_strings():
     for a, b in ((b"abc", b"defg"), (b"", b"x"), (b"x" * 999, b"y" * 7777), (b"z", b"")):
         assert token_blocks.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)

@@ -8,16 +8,22 @@ the chain is cut there. Base tokens are clamped to their kind. Potentials:
 
 * features of the token (counts of digits, signs, the checksum, where it is in a run);
 * transitions between tokens that adjoin;
-* skip edges: a token and the next one of the document with the same key (equal digits,
-  equal last `TAIL` digits, equal text) share a potential that rewards equal labels.
+* skip edges: a token and the next one of the document with the same key share a potential
+  that rewards equal labels. Keys of equal tokens: the text, the digits. Keys of similar ones:
+  the last `TAIL` digits, either half of the digits and their number (so numbers that differ in
+  one digit meet), an address's letters and digits without its signs.
 
 Edges link a token with the next of its key, so a document has few more edges than
 tokens however often one repeats. Sum-product messages pass over the loopy graph for at
 most `ROUNDS` rounds. A token whose most likely label is a kind, with `SURE` or more,
 adds a span; tokens that adjoin and have one label are one span.
 
-Weights are learnt by pseudo-likelihood, the patterns' labels as the truth, from about
-`SAMPLE` documents chosen by a hash of the id (the documented bound). Prediction reads
+Weights are learnt by pseudo-likelihood from about `SAMPLE` documents chosen by a hash of the
+id (the documented bound). The truth are the patterns' labels, which a token's own features
+nearly give away; so each token that has an edge is learnt from `BLURRED` times more with most of
+its features hidden, and there only its neighbours can tell. Tokens that a skip edge links to a
+pattern's token, but that no pattern knows, are left out: the patterns' silence is not the truth
+about them. Prediction reads
 every whole text. Patterns run in linear time: each starts at most once in a run.
 
 Defined results: a null or empty text has no spans; base spans always stay, and an added
@@ -41,6 +47,8 @@ from millrace.llm.shared import texts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, ROUNDS, SURE, TAIL = 5000, 20, 0.9, 7
+#: Further copies of a token that has an edge, and the share of its features that each hides.
+BLURRED, HIDDEN = 2, 0.7
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,7 +134,10 @@ class Lattice:
             digits = "".join(_DIGIT.findall(token))
             self.on.append(_features(token, digits, not self.joined[k], k + 1 == n or not self.joined[k + 1]))
             bare = token.strip(".,;:!?#%$&*|\"'()[]{}<>")
+            half = len(digits) // 2
             keys = [("text", bare.lower())] * ("@" in bare or len(digits) >= 3) + [("digits", digits)] * (len(digits) >= 4) + [("tail", digits[-TAIL:])] * (len(digits) >= TAIL)
+            keys += [("left", digits[:half], len(digits)), ("right", digits[half:], len(digits))] * (len(digits) >= 2 * TAIL - 4)
+            keys += [("letters", "".join(filter(str.isalnum, bare.lower())))] * ("@" in bare)
             near = {seen[x] for x in keys if x in seen}
             self.skip += [(j, k) for j in sorted(near)]
             seen.update(dict.fromkeys(keys, k))
@@ -159,6 +170,14 @@ class Field:
         for i, v in near:
             agree[i, v] += 1
         y, left, right = np.array(y), np.array(left), np.array(right)
+        # What a skip edge links to a kind, and no pattern knows, teaches nothing; tokens with edges come again with features hidden.
+        sure = (y > 0) | (agree[:, 1:].sum(1) == 0)
+        again = np.repeat(np.flatnonzero(sure & (agree.sum(1) > 0)), BLURRED)
+        pick = np.concatenate([np.flatnonzero(sure), again])
+        seen = np.ones((len(pick), N_FEATURES))
+        seen[len(pick) - len(again) :] = np.random.default_rng(0).random((len(again), N_FEATURES)) >= HIDDEN
+        seen[:, 0] = 1
+        dense, agree, y, left, right, n = dense[pick] * seen, agree[pick], y[pick], left[pick], right[pick], len(pick)
         truth = np.eye(N_LABELS)[y]
         by_left, by_right = np.eye(N_LABELS)[left], np.eye(N_LABELS)[right]
         speed = [np.zeros_like(node), np.zeros_like(step), 0.0]

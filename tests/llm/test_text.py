@@ -1,5 +1,6 @@
 import collections
 import gzip
+import itertools
 import random
 import re
 import time
@@ -123,6 +124,51 @@ def test_messages_make_copies_agree():
     assert linked[1] == pytest.approx(joint / joint.sum(), abs=1e-3)  # exact on a tree
 
 
+def test_loopy_messages_come_near_enumeration():
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        n = 5
+        node = np.zeros((pii_crf.N_FEATURES, pii_crf.N_LABELS))
+        node[1 : n + 1] = rng.normal(0, 1, (n, pii_crf.N_LABELS))
+        step = rng.normal(0, 0.4, (pii_crf.N_LABELS, pii_crf.N_LABELS))
+        step[0], step[:, 0] = 0, 0  # so ends of the chain add nothing
+        field = pii_crf.Field(node, step, 0.7)
+        skip = [(0, 2), (1, 4), (0, 4)]  # loops with the chain
+        got = field.marginals([[k + 1] for k in range(n)], [-1] * n, [False, True, True, True, True], skip)
+        want = np.zeros((n, pii_crf.N_LABELS))
+        for labels in itertools.product(range(pii_crf.N_LABELS), repeat=n):
+            p = np.exp(sum(node[k + 1, v] for k, v in enumerate(labels)) + sum(step[a, b] for a, b in zip(labels, labels[1:], strict=False)) + 0.7 * sum(labels[a] == labels[b] for a, b in skip))
+            for k, v in enumerate(labels):
+                want[k, v] += p
+        assert np.abs(got - want / want.sum(1, keepdims=True)).max() < 0.1
+
+
+def test_skip_edges_change_the_spans(spark):
+    """A number written as no pattern knows it, whose copy elsewhere in the document is one: found with the edges, not without them."""
+    rng = random.Random(9)
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if pii_crf.luhn(d + c))
+
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(16))
+    texts = []
+    for i in range(300):
+        a, junk = card(), number()
+        texts.append(f"card {a} was used on day {i}, again {a}. order {junk} and order {junk} came" if i % 2 else f"order {junk} and {junk} on {i % 30}.{i % 12}.2020, page {i}")
+    docs = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(texts)], SCHEMA)
+    field = pii_crf.learn(docs)
+    a = card()
+    typo = a[:3] + str((int(a[3]) + 1) % 10) + a[4:]
+    text = f"card {a} was used and {a} again, then the number {typo} was noted, {a} once more"
+    base = pii_crf.base_spans(text)
+    assert field.skip > 0.5 and len(base) == 3
+    found = field.added(text, base)
+    assert [(text[x:y], k) for x, k, y in found] == [(typo, 2)]
+    field.skip = 0.0
+    assert field.added(text, base) == []
+
+
 def test_decontamination(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))

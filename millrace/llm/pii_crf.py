@@ -18,8 +18,8 @@ tokens however often one repeats. Sum-product messages pass over the loopy graph
 most `ROUNDS` rounds. A token whose most likely label is a kind, with `SURE` or more,
 adds a span; tokens that adjoin and have one label are one span.
 
-Weights are learnt by pseudo-likelihood from about `SAMPLE` documents chosen by a hash of the
-id (the documented bound). The truth are the patterns' labels, which a token's own features
+Weights are learnt by pseudo-likelihood from about `SAMPLE` documents of at most `TOKENS` such tokens,
+chosen by a hash of the id (the documented bound). The truth are the patterns' labels, which a token's own features
 nearly give away; so each token that has an edge is learnt from `BLURRED` times more with most of
 its features hidden, and there only its neighbours can tell. Tokens that a skip edge links to a
 pattern's token, but that no pattern knows, are left out: the patterns' silence is not the truth
@@ -49,6 +49,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE, ROUNDS, SURE, TAIL = 5000, 20, 0.9, 7
 #: Further copies of a token that has an edge, and the share of its features that each hides.
 BLURRED, HIDDEN = 2, 0.7
+#: Tokens of a document that is learnt from at most; one with more isn't chosen. So SAMPLE * TOKENS bounds what reaches the driver.
+TOKENS = 1000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -275,6 +277,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = Lattice(t, base_spans(t))
+                if len(x.on) > TOKENS:
+                    continue
                 out.append((i, x.on, x.label, x.joined, [list(e) for e in x.skip]))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.int32()))

@@ -113,11 +113,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     one = F.struct(*key, "place", "near", "far")
     kinds = stored(left.groupBy("core", "stretch").agg(F.count("*").alias("n"), F.min(one).alias("one")), "kinds")
     several = kinds.filter(F.col("n") > 1).select("core", "stretch")
-    spans = left.join(several, ["core", "stretch"]).select(*key, (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + length).alias("end"))
+    spans = split_join(left, several, ["core", "stretch"]).select(*key, (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + length).alias("end"))
     spans = stored(spans, "spans")
     release(left)
     open_cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter((F.col("least") == 1) & (F.col("kinds") > 1)).select("core")
-    fine = kinds.join(open_cores, "core", "left_semi").groupBy("one.doc_id", "one._of").agg(F.collect_list(F.struct("one.place", "one.near", "one.far", "core", (F.col("n") > 1).alias("done"))).alias("a"))
+    fine = split_join(kinds, open_cores, ["core"], "left_semi").groupBy("one.doc_id", "one._of").agg(F.collect_list(F.struct("one.place", "one.near", "one.far", "core", (F.col("n") > 1).alias("done"))).alias("a"))
     fine = fine.select("doc_id", "_of", *(F.col(f"a.{c}").alias(c) for c in ("place", "near", "far", "core", "done")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     equal = sorts.filter((F.col("n") > 1) & ~F.col("partial")).select(*same)
     spans = spans.union(mine.join(equal, same, "left_semi").select(*key, (F.col("last") - block + 1).alias("start"), (F.col("last") + length).alias("end")))
     several = sorts.groupBy("group", "inner").agg(F.count("*").alias("m")).filter(F.col("m") > 1).select("group", "inner")
-    chosen = sorts.join(several, ["group", "inner"], "left_semi").select(*same, F.col("one.doc_id").alias("_id"), F.col("one._of").alias("_text"), F.col("one.last").alias("_last"))
+    chosen = split_join(sorts, several, ["group", "inner"], "left_semi").select(*same, F.col("one.doc_id").alias("_id"), F.col("one._of").alias("_text"), F.col("one.last").alias("_last"))
     each = parts.select(*key, "last", *same, "strings").join(chosen, same).filter(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_text")) & (F.col("last") == F.col("_last")))
     each = each.select(*same, F.posexplode("strings").alias("d", "string")).filter(F.col("string").isNotNull())
     each = stored(each, "strings")

@@ -259,6 +259,14 @@ def test_recall_on_the_documents(spark):
     assert len(links) >= 5 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
 
 
+def test_very_long_texts_are_compared_whole(spark):
+    words = [f"w{k % 50021}" for k in range(120_000)]
+    near, far = list(words), words[:60_000] + [f"v{k}" for k in range(60_000)]
+    near[119_000] = "z"
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, [" ".join(words), " ".join(near), " ".join(far)])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_ids_that_repeat_or_are_missing_are_decided_by_text(spark):
     base = " ".join(f"w{k}" for k in range(100))
     near = [base + " x", "y " + base, base.replace("w50", "z")]

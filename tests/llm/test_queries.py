@@ -39,6 +39,25 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_the_pipeline_removes_what_is_planted(spark):
+    """Near copies whose lines all differ, a benchmark passage and a repeated line, beside documents that stay as they are."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    passage = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    long = max((r.text for r in docs.filter("lang = 'en'").collect() if r.text), key=len).replace("\n", " ").split()
+    made = [" ".join(long[k * 150 : k * 150 + 150][::-1]) for k in range(6)]
+    near = [" ".join(w if k not in (3, 77) else "changed" for k, w in enumerate(t.split())) for t in made[:2]]
+    line = "please subscribe to our weekly letter"
+    texts = [*made, *near, f"{made[2][::-1]} {passage}", f"{line}\n{' '.join(made[3].split()[::-1])}", f"{line}\n{' '.join(made[4].split()[::-1])}"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], schema)
+    kept = rows
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, spark.createDataFrame(kept.collect(), schema), DATA)
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 9, 10}
+    assert all(got[k] == texts[k] for k in (0, 1, 2, 3, 4, 5, 9)) and got[10] == texts[10].partition("\n")[2]
+
+
 FOREIGN = [
     "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
     "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm.",

@@ -246,7 +246,9 @@ def write_files(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
 
 
 def _store(path: str) -> tuple[FileSystem, str]:
-    return FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    if "://" not in path:
+        path = f"file://{os.path.abspath(path.removeprefix('file:'))}"
+    return FileSystem.from_uri(path)
 
 
 _NAMES = ["record_id", "type", "url", "date", "headers", "digest", "content"]

@@ -12,7 +12,7 @@ from millrace.functions.columns import quoted
 from millrace.operators import relational as op
 from millrace.plans.statistics import Statistics, profile, tpch
 from millrace.session import Session, main
-from millrace.sources.tables import SORTED, Store
+from millrace.sources.tables import SORTED, Files, Store
 from millrace.sources.text import read_text, write_text
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]
@@ -32,7 +32,10 @@ PARTSUPP = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, CAST(sum(l
 def session(spark: SparkSession, sf_dir: str, statistics: Statistics | None = None) -> Session:
     s = Session(spark, statistics=statistics)
     s.register_parquet(sf_dir, *TABLES)
-    s.register("partsupp", partsupp(s.table("lineitem")))
+    if Files(spark).exists(f"{sf_dir}/partsupp.parquet"):
+        s.register_parquet(sf_dir, "partsupp")
+    else:
+        s.register("partsupp", partsupp(s.table("lineitem")))
     return s
 
 

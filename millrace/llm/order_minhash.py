@@ -244,6 +244,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, label) of the classes of label (as components() gives) after further links: only classes that these connect are looked at."""
+    if label is None:
+        return components(links)
+    of = lambda side: label.select(F.col("id").alias(side), F.col("label").alias(f"_{side}"))
+    across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    across = stored(across.filter(F.col("a") != F.col("b")).distinct(), "links", tidy=False)
+    if across.isEmpty():
+        return label
+    new = components(across).select(F.col("id").alias("_old"), F.col("label").alias("_new"))
+    kept = label.join(new, label.label == new["_old"], "left").select("id", F.coalesce("_new", "label").alias("label"))
+    more = new.join(label, new["_old"] == label.id, "left_anti").select(F.col("_old").alias("id"), F.col("_new").alias("label"))
+    return stored(kept.union(more), "labels", tidy=False)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size, n_links, kept) for each row. n_links: how many links its text has that were looked at; classes need no more."""
     return _classes(docs, id_col, text_col, similarity).drop("of")
@@ -267,7 +282,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     while not members.isEmpty():
         front = stored(members.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "size", "label")).alias("s")).select("bucket", *(F.col(f"s.{c}").alias(f"_{c}") for c in ("id", "size", "label"))), "leaders", tidy=False)
         links.append(stored(verified(_pairs(members, front, similarity), x, similarity), "found", tidy=False))
-        label = components(reduce(DataFrame.union, links))
+        label = joined(label, links[-1])
         # Leaders have met all of their bucket. The others may have classes apart still.
         rest = members.join(front.select("bucket", F.col("_id").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "size", "weight", F.lit(True).alias("live"))
         rest = _open(rest, label)
@@ -280,7 +295,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         links.append(stored(verified(_pairs(few.filter(F.col("label") != F.col("top")), other, similarity, once), x, similarity), "found", tidy=False))
         many = stored(rest.filter(F.col("cross") > FEW * F.col("n")).select("bucket", "id", "size", "weight", "label"), "many")
         if many.isEmpty():
-            label = components(reduce(DataFrame.union, links))
+            label = joined(label, links[-1])
             break
         hub = many.groupBy("bucket").agg(F.min("id").alias("a"))
         comp = components(split_join(many.select("bucket", "id"), hub, ["bucket"]).select("a", F.col("id").alias("b")).distinct())
@@ -290,7 +305,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         aside = sized.join(central, "comp").filter(F.col("id") != F.col("leader")).select("comp", "id", "leader", (F.col("label") == F.col("_label")).alias("settled"), "smallest")
         fine = stored(refined(aside, x, similarity), "refined", tidy=False)
         links.append(fine.filter("ok").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-        label = components(reduce(DataFrame.union, links))
+        label = joined(label, links[-2].union(links[-1]))
         spread = rarest(fine).join(sized.select("id", "size", "weight"), "id")
         # What texts lack counts where one of them is shorter than the leader.
         members = _open(spread.select("id", "size", "weight", F.xxhash64("comp", "lost", "e").alias("bucket"), (F.col("short") | ~F.col("lost")).alias("live")), label)
@@ -312,7 +327,7 @@ def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
         members = members.withColumn("label", F.col("id"))
     else:
         members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    members = stored(members, "members")
+        members = stored(members, "members", tidy=False)
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("live").alias("live"))
     sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.max(F.struct("n", "label")).alias("top"), F.max("live").alias("live"))
     sizes = sizes.filter((F.col("cross") > 0) & F.col("live")).select("bucket", "n", "cross", F.col("top.label").alias("top"))

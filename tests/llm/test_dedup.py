@@ -74,7 +74,7 @@ def test_line_dedup(spark, min_lines):
 
 def test_single_lines_between_others(spark):
     """Boilerplate between lines that differ goes from four words on, and the copy with the smallest id stays."""
-    df = frame(spark, [f"first {i} of\nplease share this page now\nthe end\nlast {i}" for i in range(5)])
+    df = frame(spark, [f"first {i} of\nplease share this page now\nmore {i}\nthe end\nlast {i}" for i in range(5)])
     assert {r.doc_id: (r.n_removed, r.n_runs) for r in line_dedup.report(df).collect()} == {i: (int(i > 0), int(i > 0)) for i in range(5)}
     assert "please share" not in line_dedup.drop_lines(df).filter("doc_id = 3").first().text
 

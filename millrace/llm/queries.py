@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, exact_dedup, language_id, line_dedup, order_minhash, pii_crf, revisits, sentencepiece_codec, suffix_dedup, token_blocks
-from millrace.llm.shared import stored, table
+from millrace.llm.shared import table
 
 
 def _vocabulary(name: str) -> str:
@@ -45,8 +45,7 @@ def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC records of three crawls (revisits.captures), written, read back and resolved."""
-    records = stored(revisits.written_and_read(revisits.captures(table(spark, sf_dir, "pages"))), "records", "zstd")
-    return revisits.resolve(records).select(
+    return revisits.resolve(revisits.written_and_read(revisits.captures(table(spark, sf_dir, "pages")))).select(
         "record_id", "status", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.coalesce(F.col("headers")["etag"], F.lit("")).alias("etag"), F.col("headers")["date"].alias("date"), F.col("headers")["content-type"].alias("content_type"),
         F.coalesce(F.octet_length("content"), F.lit(-1)).cast("bigint").alias("n_bytes"), F.coalesce(F.sha1("content"), F.lit("")).alias("content_sha1"),
     )

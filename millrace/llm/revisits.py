@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from millrace.llm.shared import scratch, ship, stored
+from millrace.llm.shared import release, remove, scratch, ship, stored
 
 #: Header fields that a 304 response may carry and that replace stored ones (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
@@ -93,6 +93,7 @@ def as_of(keyed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // bucket))
     ranged = keyed.withColumn("is_not_full", ~F.col("is_full")).repartitionByRange(parts, "key", "at", "is_not_full", "record_id")
     rows = stored(ranged.withColumn("bucket", F.spark_partition_id()), "buckets")
+    release(keyed)
     full = F.when(F.col("is_full"), F.struct("record_id", "at", "etag", "modified", "digest"))
     inside = Window.partitionBy("key", "bucket").orderBy("at", "is_not_full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -304,9 +305,14 @@ def read_files(files: DataFrame, path: str) -> DataFrame:
 
 
 def written_and_read(records: DataFrame) -> DataFrame:
-    """The records as read_files() gives them from the files that write_files() makes in the shared folder."""
-    path = scratch(records.sparkSession, "warc")
-    return read_files(write_files(records, path), path)
+    """The records as read_files() gives them from the files that write_files() makes in the shared folder; these are deleted then."""
+    spark = records.sparkSession
+    path = scratch(spark, "warc")
+    files = write_files(records, path)
+    read = stored(read_files(files, path), "records", "zstd")
+    remove(spark, path)
+    release(files)
+    return read
 
 
 def captures(pages: DataFrame) -> DataFrame:

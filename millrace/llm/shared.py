@@ -85,7 +85,11 @@ def stored(df: DataFrame, name: str, compression: str = "snappy", tidy: bool = T
 
 def release(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
-    sc = df.sparkSession.sparkContext
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

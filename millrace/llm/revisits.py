@@ -21,7 +21,9 @@ leaves no half file behind that anything reads.
 Defined results: revisits without an earlier response are `unresolved`, those whose
 validators differ `mismatch`; both keep their own headers and no content. Responses pass
 through. At one time a response counts as earlier than a revisit; equal times rank by
-record id. Records with a null URL or time never resolve. An empty table gives an empty
+record id. Records with a null URL, time or id never resolve. Rows that repeat an id are kept
+each and share what it resolves to; of several responses of one id the one whose content has the
+smallest hash is used. An empty table gives an empty
 result. Records whose length is wrong are kept as `broken` rows.
 """
 
@@ -112,15 +114,18 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         "record_id", canonical("url").alias("key"), "at", (F.col("type") == "response").alias("is_full"),
         F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"), "digest",
     )
-    joinable = keyed.filter(F.col("key").isNotNull() & F.col("at").isNotNull())
+    joinable = keyed.filter(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("record_id").isNotNull())
     found = as_of(joinable, bucket).select(
         F.col("revisit.record_id").alias("_id"),
         F.when(F.col("full").isNull(), "unresolved").when(_validated(), "resolved").otherwise("mismatch").alias("_status"),
         F.when(F.col("full").isNotNull() & _validated(), F.col("full.record_id")).alias("_source"),
         F.hash("revisit.record_id").alias("_spread"),
-    )
+    ).groupBy("_id").agg(F.min(F.struct("_status", "_source", "_spread")).alias("s")).select("_id", "s.*")
     # Contents of responses are shuffled once, to their revisits; responses themselves pass through.
     donors = records.filter(F.col("type") == "response").select(F.col("record_id").alias("_from"), F.col("headers").alias("_headers"), F.col("content").alias("_content"), F.col("digest").alias("_digest"))
+    if not donors.groupBy("_from").agg(F.count("*").alias("n")).filter("n > 1 AND _from IS NOT NULL").isEmpty():
+        one = donors.groupBy("_from").agg(F.min(F.struct(F.sha2("_content", 256).alias("h"), "_digest", F.to_json("_headers").alias("j"), F.struct("_content").alias("c"), F.map_entries("_headers").alias("e"))).alias("s"))
+        donors = one.select("_from", F.map_from_entries("s.e").alias("_headers"), F.col("s.c._content").alias("_content"), F.col("s._digest").alias("_digest"))
     rows = records.filter(F.coalesce(F.col("type") != "response", F.lit(True)))
     rows = rows.join(found, rows.record_id == found["_id"], "left")
     # Revisits without a source are dealt out by a number of their own, lest they all meet in one task.

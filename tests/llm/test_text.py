@@ -296,7 +296,7 @@ def test_warc_files(spark, tmp_path):
     assert revisits.written_and_read(records.limit(0)).count() == 0
     pages = spark.createDataFrame([(None, "http://a/", "x"), (1, None, "y"), (2, "http://a/", None), (2, "http://a/", None)], "page_id long, url string, html string")
     out = revisits.resolve(revisits.written_and_read(revisits.captures(pages))).collect()
-    assert len(out) == 11 and sum(r.status == "full" for r in out if r.url is None) == sum(r.type == "response" for r in out if r.url is None)
+    assert len(out) == 11 and sum(r.status == "resolved" for r in out) == 4 and sum(r.status == "full" for r in out if r.url is None) == sum(r.type == "response" for r in out if r.url is None)
 
 
 def test_revisits_resolve_to_the_latest_earlier_response(spark):

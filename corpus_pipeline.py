@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
 documents. Every stage works on all rows that its predecessor kept.
+
+A document without a text, with an empty one or without a letter has no language and goes in
+the first stage; given to a later one, it has no lines, is a near duplicate of other such
+documents only (one stays), matches no item and has no tokens. Rows that repeat an id and a text
+share each decision; rows that share an id only are decided by their texts. Null ids are ids like
+any other, and stay only where no other row of a class has one. Further columns stay as they
+are. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -110,11 +110,10 @@ def test_blocks_are_smaller_than_order_0_and_zlib():
     ids = np.concatenate([np.append(np.frombuffer(x, w.width), 2) for x in w.encode([t or "" for _, t in sorted(zip(docs["doc_id"], docs["text"], strict=True))])]).astype(np.int64)
     blocks = [ids[k : k + token_blocks.BLOCK] for k in range(0, len(ids) - token_blocks.BLOCK + 1, token_blocks.BLOCK)]
     assert len(blocks) > 2
-    payloads = token_blocks.encode_blocks(blocks)
+    payloads = token_blocks.encode_blocks(blocks)  # that they are read back is tested above, and in files
     for b, x in zip(blocks, payloads, strict=True):
         share = np.unique(b, return_counts=True)[1] / len(b)
         assert 16 * len(x) < -len(b) * (share * np.log2(share)).sum() and 2 * len(x) < len(zlib.compress(b.astype("<u2").tobytes(), 9))
-    assert all((a == b).all() for a, b in zip(blocks, token_blocks.decode_blocks(payloads, [len(b) for b in blocks]), strict=True))
 
 
 def test_crc_of_joined_strings():

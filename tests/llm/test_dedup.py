@@ -213,12 +213,11 @@ def classes(x):
     return root
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_a_dense_family_in_a_hot_bucket_loses_no_link(spark, monkeypatch, seed):
+def test_a_dense_family_in_a_hot_bucket_loses_no_link(spark, monkeypatch):
     """Half are edits of one text, half edits of those; most pairs aren't linked, and all share a bucket with texts that are not alike."""
     bands = order_minhash.bands
     monkeypatch.setattr(order_minhash, "bands", lambda x: np.append(bands(x), np.uint64(0)))
-    rng = random.Random(seed)
+    rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     texts = []
     for size in (60, 45):

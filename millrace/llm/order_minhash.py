@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.fingerprints import MULTIPLIER, Stretches, mixed
-from millrace.llm.shared import ship, split_join, stored, texts
+from millrace.llm.shared import ship, small, split_join, stored, texts
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, ROWS_OF_BAND = 96, 3
@@ -185,7 +185,7 @@ def verified(pairs: DataFrame, x: DataFrame, least: float) -> DataFrame:
             ok = pa.array([aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    left = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a")
+    left = x.select(F.col("id").alias("a"), F.col("x").alias("xa")).join(small(pairs), "a")
     return left.join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a binary, b binary")
 
 
@@ -235,9 +235,9 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "id"), "labels", tidy=False)
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "near").alias("next"))
-        hop = labels.select(F.col("id").alias("next"), F.col("label").alias("further"))
+        near = both.join(small(labels.select(F.col("id").alias("b"), "label")), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = near.join(small(labels), labels.id == near.a).select("id", "label", F.least("label", "near").alias("next"))
+        hop = small(labels.select(F.col("id").alias("next"), F.col("label").alias("further")))
         step = stored(step.join(hop, "next", "left").select("id", "label", F.least("next", F.coalesce("further", "next")).alias("next")), "labels", tidy=False)
         labels = step.select("id", F.col("next").alias("label"))
         if step.filter(F.col("next") != F.col("label")).isEmpty():
@@ -248,14 +248,14 @@ def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """(id, label) of the classes of label (as components() gives) after further links: only classes that these connect are looked at."""
     if label is None:
         return components(links)
-    of = lambda side: label.select(F.col("id").alias(side), F.col("label").alias(f"_{side}"))
+    of = lambda side: small(label.select(F.col("id").alias(side), F.col("label").alias(f"_{side}")))
     across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     across = stored(across.filter(F.col("a") != F.col("b")).distinct(), "links", tidy=False)
     if across.isEmpty():
         return label
-    new = components(across).select(F.col("id").alias("_old"), F.col("label").alias("_new"))
+    new = small(components(across).select(F.col("id").alias("_old"), F.col("label").alias("_new")))
     kept = label.join(new, label.label == new["_old"], "left").select("id", F.coalesce("_new", "label").alias("label"))
-    more = new.join(label, new["_old"] == label.id, "left_anti").select(F.col("_old").alias("id"), F.col("_new").alias("label"))
+    more = new.join(small(label), new["_old"] == label.id, "left_anti").select(F.col("_old").alias("id"), F.col("_new").alias("label"))
     return stored(kept.union(more), "labels", tidy=False)
 
 
@@ -284,7 +284,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         links.append(stored(verified(_pairs(members, front, similarity), x, similarity), "found", tidy=False))
         label = joined(label, links[-1])
         # Leaders have met all of their bucket. The others may have classes apart still.
-        rest = members.join(front.select("bucket", F.col("_id").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "size", "weight", F.lit(True).alias("live"))
+        rest = members.join(small(front.select("bucket", F.col("_id").alias("id"))), ["bucket", "id"], "left_anti").select("bucket", "id", "size", "weight", F.lit(True).alias("live"))
         rest = _open(rest, label)
         if rest.isEmpty():
             break
@@ -302,7 +302,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         sized = stored(many.select("id", "size", "weight", "label").distinct().join(comp.withColumnRenamed("label", "comp"), "id"), "sized", tidy=False)
         central = sized.groupBy("comp").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "label")).alias("s"), F.min("size").alias("smallest"))
         central = stored(central.select("comp", F.col("s.id").alias("leader"), F.col("s.label").alias("_label"), "smallest"), "leaders", tidy=False)
-        aside = sized.join(central, "comp").filter(F.col("id") != F.col("leader")).select("comp", "id", "leader", (F.col("label") == F.col("_label")).alias("settled"), "smallest")
+        aside = sized.join(small(central), "comp").filter(F.col("id") != F.col("leader")).select("comp", "id", "leader", (F.col("label") == F.col("_label")).alias("settled"), "smallest")
         fine = stored(refined(aside, x, similarity), "refined", tidy=False)
         links.append(fine.filter("ok").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
         label = joined(label, links[-2].union(links[-1]))
@@ -326,7 +326,7 @@ def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
     if label is None:
         members = members.withColumn("label", F.col("id"))
     else:
-        members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        members = members.join(small(label), "id", "left").withColumn("label", F.coalesce("label", "id"))
         members = stored(members, "members", tidy=False)
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("live").alias("live"))
     sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.max(F.struct("n", "label")).alias("top"), F.max("live").alias("live"))
@@ -338,7 +338,7 @@ def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
 def _pairs(members: DataFrame, others: DataFrame, similarity: float, once: Column | None = None) -> DataFrame:
     """(a, b), a < b, of members and others (_id, _size, _label) of a bucket that are in different classes. Of m aligned shingles no pair has more than the shorter text, so the similarity is at most the ratio of the sizes."""
     alike = (F.col("label") != F.col("_label")) & (F.least("size", "_size") / F.greatest("size", "_size") >= similarity)
-    pairs = members.join(others, "bucket").filter(alike if once is None else alike & once)
+    pairs = members.join(small(others), "bucket").filter(alike if once is None else alike & once)
     return stored(pairs.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct(), "pairs", tidy=False)
 
 

@@ -83,6 +83,19 @@ def stored(df: DataFrame, name: str, compression: str = "snappy", tidy: bool = T
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes of Parquet files up to which a stored table is sent to every executor.
+SMALL_BYTES = 2 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """What stored() gave (or some columns and rows of it), to be broadcast if its files are small; as it is otherwise."""
+    spark, size = df.sparkSession, 0
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        size += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
 def release(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:

@@ -55,6 +55,8 @@ WORDS, SIMILARITY = 5, 0.8
 ROWS, ROWS_OF_BAND = 96, 3
 #: Twice the pairs of a bucket for each of its texts that are compared at most, buckets with more being refined; shingles hashed at a time.
 FEW, PART = 32, 1 << 15
+#: Links for each part that a state of the components is written in at most.
+ROWS_OF_FILE = 1 << 17
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -233,12 +235,13 @@ def rarest(fine: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, label) for each id in links (a, b): the smallest id that it is connected with."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "id"), "labels", tidy=False)
+    parts = max(1, -(-both.count() // ROWS_OF_FILE))
+    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "id").coalesce(parts), "labels", tidy=False)
     while True:
         near = both.join(small(labels.select(F.col("id").alias("b"), "label")), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = near.join(small(labels), labels.id == near.a).select("id", "label", F.least("label", "near").alias("next"))
         hop = small(labels.select(F.col("id").alias("next"), F.col("label").alias("further")))
-        step = stored(step.join(hop, "next", "left").select("id", "label", F.least("next", F.coalesce("further", "next")).alias("next")), "labels", tidy=False)
+        step = stored(step.join(hop, "next", "left").select("id", "label", F.least("next", F.coalesce("further", "next")).alias("next")).coalesce(parts), "labels", tidy=False)
         labels = step.select("id", F.col("next").alias("label"))
         if step.filter(F.col("next") != F.col("label")).isEmpty():
             return labels
@@ -323,14 +326,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
 
 def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
     """(bucket, id, size, label, n, cross, top, weight) of members (bucket, id, size, live) in buckets with several classes and a live member. n: texts of the bucket, cross: twice its pairs of different classes, top: its largest class, weight: unless it is there already, the sum of n over the buckets of a text."""
-    if label is None:
+    n, live = F.count("*").alias("n"), F.max("live").alias("live")
+    if label is None:  # each text is a class, and none is a bucket's largest
         members = members.withColumn("label", F.col("id"))
+        sizes = members.groupBy("bucket").agg(n, live).withColumns({"cross": F.col("n") * (F.col("n") - 1), "top": F.lit(None).cast("binary")})
     else:
-        members = members.join(small(label), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        members = stored(members, "members", tidy=False)
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("live").alias("live"))
-    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.max(F.struct("n", "label")).alias("top"), F.max("live").alias("live"))
-    sizes = sizes.filter((F.col("cross") > 0) & F.col("live")).select("bucket", "n", "cross", F.col("top.label").alias("top"))
+        members = stored(members.join(small(label), "id", "left").withColumn("label", F.coalesce("label", "id")), "members", tidy=False)
+        sizes = members.groupBy("bucket", "label").agg(n, live)
+        sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.max(F.struct("n", "label")).alias("top"), live).withColumn("top", F.col("top.label"))
+    sizes = sizes.filter((F.col("cross") > 0) & F.col("live")).select("bucket", "n", "cross", "top")
     members = stored(split_join(members.drop("live"), sizes, ["bucket"]), "members")
     return members if "weight" in members.columns else stored(split_join(members, members.groupBy("id").agg(F.sum("n").alias("weight")), ["id"]), "members")
 

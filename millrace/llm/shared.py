@@ -84,7 +84,7 @@ def stored(df: DataFrame, name: str, compression: str = "snappy", tidy: bool = T
 
 
 #: Bytes of Parquet files up to which a stored table is sent to every executor.
-SMALL_BYTES = 2 << 20
+SMALL_BYTES = 1 << 20
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -46,11 +46,11 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import scratch, texts
 
 #: Ids of a block, blocks that are coded side by side, words whose ids are kept.
-BLOCK, LANES, KEPT = 1 << 16, 128, 300_000
+BLOCK, LANES, KEPT = 1 << 15, 256, 300_000
 MAGIC, VERSION, NULL_ID = b"MRTB", 2, -(2**63)
 HEAD, PART = struct.Struct("<4sBBIIII"), struct.Struct("<IIBq")
 #: Ranks of a group, bits of the slots of order 2, what a count grows by, sum of weights from which they are halved.
-_GROUP, _ORDER2, _GROWTH, _WEIGHTS = 64, 16, 2, 400
+_GROUP, _ORDER2, _GROWTH, _WEIGHTS = 64, 15, 2, 400
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
 

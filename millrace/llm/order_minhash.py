@@ -11,8 +11,11 @@ wide as a linked pair's alignment can stray.
 Equal texts are one text first, known by a 128-bit hash. In each bucket of candidates the
 text that shares most buckets with others leads and is compared with the rest. What is in
 one class after that needs no further comparison. In buckets that still hold several
-classes, texts of different classes are compared if that makes `FEW` / 2 pairs a text at most.
-Other buckets are refined, so that no bucket is ever paired off whole: of all texts that such buckets connect, the one that
+classes, texts of different classes are paired if that makes `SIGNED` / 2 pairs a text at most, and of
+these the pairs whose signatures allow a link are compared, if they are `FEW` / 2 a text at most. A signature has
+the parity of the number of labelled shingles that fall on each of `BITS` places, so two signatures differ
+in at most as many places as there are shingles that only one of the texts has.
+Other buckets are refined, so that no large bucket is ever paired off whole: of all texts that such buckets connect, the one that
 shares most buckets, L, is aligned with each other text once. What is in L's class by then is
 settled among itself. If x is not in it, and y is similar to x, then |x - L| + |L - x| + |y| -
 |L| - c (|x| + |y|), with c = (1 - similarity) / (1 + similarity), is at most twice the number of
@@ -22,13 +25,13 @@ one, of what it has beyond L, the rarest of these texts first. If that says noth
 the same holds of shingles that L has and both lack, without the lengths. These shingles make the
 buckets of the next level, where texts of L's class come with all that sets them apart from L.
 A candidate pair is left out only if it is in one class already, or if the numbers of
-shingles or the above rule a link out. (The above is about sets. A text whose set is similar to
+shingles, the signatures or the above rule a link out. (The above is about sets. A text whose set is similar to
 L's, but not its order, comes with all that sets it apart; where that is nothing, it meets no
 more texts.)
 Classes are the connected components of the links, by label spreading with the state written
 each time.
 
-Only keys and numbers are shuffled, and the shingle hashes of compared texts. Defined
+Only keys and numbers are shuffled, and the shingle hashes and signatures of compared texts. Defined
 results: a null or empty text, or one of blanks, has no shingles; equal ones form one
 class. Fewer than five words are one shingle. Rows that repeat an id are decided by their
 texts, and rows that repeat both share a decision. The class id is the smallest doc_id of the
@@ -53,8 +56,8 @@ from millrace.llm.shared import ship, small, split_join, stored, texts
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, ROWS_OF_BAND = 96, 3
-#: Twice the pairs of a bucket for each of its texts that are compared at most, buckets with more being refined; shingles hashed at a time.
-FEW, PART = 32, 1 << 15
+#: Twice the pairs of a bucket for each of its texts that are aligned at most, and whose signatures are compared at most, buckets with more being refined; bits of a signature; shingles hashed at a time.
+FEW, SIGNED, BITS, PART = 32, 1 << 12, 1 << 10, 1 << 15
 #: Links for each part that a state of the components is written in at most.
 ROWS_OF_FILE = 1 << 17
 
@@ -113,6 +116,12 @@ def bands(x: np.ndarray, rows: int = ROWS, of_band: int = ROWS_OF_BAND) -> np.nd
     return key
 
 
+def signature(x: np.ndarray) -> np.ndarray:
+    """For each of `BITS` places whether an odd number of labelled shingles fall on it, as 64-bit numbers."""
+    on = np.bincount((labelled(x) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(on.astype(np.uint8)).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Similarity of two shingle sequences; exact from `least` on, below it perhaps too low.
 
@@ -169,14 +178,15 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(id, x) of (text): the text's hash as in sketches(), and its shingles as bytes."""
+    """(id, x, bits) of (text): the text's hash as in sketches(), its shingles as bytes, and their signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts_ = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in texts_], pa.binary()), pa.array([shingles(t).tobytes() for t in texts_], pa.binary())], ["id", "x"])
+            found = [shingles(t) for t in texts_]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in texts_], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([signature(x) for x in found], pa.list_(pa.int64()))], ["id", "x", "bits"])
 
-    return docs.select("text").mapInArrow(run, "id binary, x binary")
+    return docs.select("text").mapInArrow(run, "id binary, x binary, bits array<long>")
 
 
 def verified(pairs: DataFrame, x: DataFrame, least: float) -> DataFrame:
@@ -291,12 +301,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         rest = _open(rest, label)
         if rest.isEmpty():
             break
-        few, others = rest.filter(F.col("cross") <= FEW * F.col("n")), ("id", "size", "label")
-        other = few.select("bucket", *(F.col(c).alias(f"_{c}") for c in others))
-        # Of two classes one isn't the bucket's largest, and all that aren't are few, or there were more pairs.
-        once = (F.col("_label") == F.col("top")) | (F.col("id") < F.col("_id"))
-        links.append(stored(verified(_pairs(few.filter(F.col("label") != F.col("top")), other, similarity, once), x, similarity), "found", tidy=False))
-        many = stored(rest.filter(F.col("cross") > FEW * F.col("n")).select("bucket", "id", "size", "weight", "label"), "many")
+        few = stored(rest.filter(F.col("cross") <= SIGNED * F.col("n")).join(x.select("id", "bits"), "id"), "few", tidy=False)
+        near = stored(_alike(few, similarity), "near", tidy=False)
+        dense = stored(near.groupBy("bucket").agg(F.count("*").alias("pairs"), F.max("n").alias("n")).filter(2 * F.col("pairs") > FEW * F.col("n")).select("bucket"), "dense", tidy=False)
+        pairs = stored(near.join(small(dense), "bucket", "left_anti").select("a", "b").distinct(), "pairs", tidy=False)
+        links.append(stored(verified(pairs, x, similarity), "found", tidy=False))
+        many = rest.filter(F.col("cross") > SIGNED * F.col("n")).union(rest.join(small(dense), "bucket", "left_semi").select(rest.columns))
+        many = stored(many.select("bucket", "id", "size", "weight", "label"), "many")
         if many.isEmpty():
             label = joined(label, links[-1])
             break
@@ -339,13 +350,29 @@ def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
     return members if "weight" in members.columns else stored(split_join(members, members.groupBy("id").agg(F.sum("n").alias("weight")), ["id"]), "members")
 
 
-def _pairs(members: DataFrame, others: DataFrame, similarity: float, once: Column | None = None) -> DataFrame:
-    """(a, b), a < b, of members and others (_id, _size, _label) of a bucket that are in different classes. Of m aligned shingles no pair has more than the shorter text, so the similarity is at most the ratio of the sizes."""
-    alike = (F.col("label") != F.col("_label")) & (F.least("size", "_size") / F.greatest("size", "_size") >= similarity)
-    pairs = members.join(small(others), "bucket").filter(alike if once is None else alike & once)
+def _sized_alike(similarity: float) -> Column:
+    """Whether members and others (_id, _size, _label) are in different classes and of sizes that allow a link. Of m aligned shingles no pair has more than the shorter text, so the similarity is at most the ratio of the sizes."""
+    return (F.col("label") != F.col("_label")) & (F.least("size", "_size") / F.greatest("size", "_size") >= similarity)
+
+
+def _pairs(members: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of members and others (_id, _size, _label) of a bucket that may be links."""
+    pairs = members.join(small(others), "bucket").filter(_sized_alike(similarity))
     return stored(pairs.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct(), "pairs", tidy=False)
 
 
+def _alike(few: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, n, a, b), a < b, of the pairs of a bucket that may be links by their sizes and signatures: of a link's shingles at most (n1 + n2) (1 - similarity) / (1 + similarity) are in one text alone."""
+    columns = ("id", "size", "label", "bits")
+    other = few.select("bucket", *(F.col(c).alias(f"_{c}") for c in columns))
+    # Of two classes one isn't the bucket's largest.
+    once = (F.col("_label") == F.col("top")) | (F.col("id") < F.col("_id"))
+    differ = reduce(Column.__add__, (F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("_bits")[k])) for k in range(BITS // 64)))
+    allowed = (F.col("size") + F.col("_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    pairs = few.filter(F.col("label") != F.col("top")).join(small(other), "bucket").filter(_sized_alike(similarity) & once & (differ <= allowed))
+    return pairs.select("bucket", "n", F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Rows of docs without those whose class keeps another document; the columns stay."""
     gone = _classes(docs, id_col, text_col, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("of").alias("_of")).distinct()

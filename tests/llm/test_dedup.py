@@ -242,6 +242,45 @@ def test_a_dense_family_in_a_hot_bucket_loses_no_link(spark, monkeypatch):
     assert all(len(v) == 1 for v in of.values()) and len(set().union(*of.values())) == len(of)
 
 
+def test_signatures_differ_by_no_more_than_the_texts():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 300, 5000):
+        for _ in range(20):
+            a = rng.integers(0, 400, n).astype(np.uint64)
+            b = np.delete(np.append(a, rng.integers(0, 900, 7)), rng.integers(0, n + 7, 3)).astype(np.uint64)
+            differ = (order_minhash.signature(a) ^ order_minhash.signature(b)).view(np.uint64)
+            alone = set(order_minhash.labelled(a).tolist()) ^ set(order_minhash.labelled(b).tolist())
+            assert sum(int(v).bit_count() for v in differ) <= len(alone)
+
+
+@pytest.mark.parametrize("few, signed, levels", [(32, 1 << 12, False), (0, 1 << 12, True), (32, 8, True)])
+def test_families_in_one_bucket_need_no_level_each(spark, monkeypatch, few, signed, levels):
+    """Several families share a bucket; in each, few pairs are links. Buckets with too many pairs are still refined, and give the same classes."""
+    monkeypatch.setattr(order_minhash, "bands", lambda x: np.zeros(1, np.uint64))
+    monkeypatch.setattr(order_minhash, "FEW", few)
+    monkeypatch.setattr(order_minhash, "SIGNED", signed)
+    called, refined = [], order_minhash.refined
+    monkeypatch.setattr(order_minhash, "refined", lambda *a: called.append(1) or refined(*a))
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(2):
+        base = [word() for _ in range(100)]
+        for k in range(24):
+            t = list(base)
+            for at in rng.sample(range(100), 6):
+                t[at] = word()
+            texts.append(t)
+            if k % 10 == 0:
+                texts.append([*t[:-1], word()])
+    rng.shuffle(texts)
+    texts = list(map(" ".join, texts))
+    want = classes([order_minhash.shingles(t) for t in texts])
+    assert 40 < len(set(want)) < len(texts)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and bool(called) == levels
+
+
 def test_recall_on_the_documents(spark):
     """Pairs of different texts that are similar, by brute force, against the classes found."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -5,24 +5,27 @@ and the documents are laid one after another in ascending id order. The ids are
 blocks of `BLOCK`. A block is coded on its own: its models start anew, it has the CRC-32
 of its ids, and it says which documents it holds parts of.
 
+A block is coded in `n >> 9` lanes, stretches of at least 512 ids that follow each other, side by
+side: at each step every lane codes its next id by the models that all lanes of the block share,
+and then the models learn from all these ids.
+
 An id is coded as its rank in the block's alphabet, the sorted list of its ids, which the block
 begins with (differences in Rice code). Three predictions of the next id are mixed. Order 0
 gives each id of the alphabet a share by how often it came so far. Order 1 and order 2 each
 name the id that best followed the one or two ids before, in a slot that trusts it more the
-more often it held. Their weights beside order 0 adapt: they are learnt, block by block, for each
+more often it held. Their weights beside order 0 adapt: they are learnt, in each block, for each
 trust in the two and for whether they agree, from which came true. The mixture is arithmetic
-coded in two steps: the 64 ranks that the id is among, then which of these, with the
-predicted ids' weights added to the counts in both. All arithmetic is in integers, so any
-machine decodes alike. Many blocks go through the coder side by side, one in each lane of an
-array.
+coded, with the predicted ids' weights added to the counts. Counts are summed anew after 1 / 16 more
+steps, weights every fourth step. All arithmetic is in integers, so any machine decodes alike.
+Several blocks go through the coder at once; none depends on the others.
 
 File format (little-endian), one binary value for each block: magic `MRTB`, version (u8),
 0 (u8), ids (u32), CRC-32 of the ids as u32s (u32), parts of documents (u32), payload words
 (u32); for each part u32 first id, u32 ids, u8 flags (1: begins here, 2: ends here) and i64
 doc_id; then the payload as u16 words: ranks (two words), the parameter of the Rice code, the
-code's quotients and remainders, each from a new word on, and what the range coder put out. A
-file is a Parquet container of (part, block, first, n, doc, data): the files are in order, and so
-are the blocks of each.
+code's quotients and remainders, each from a new word on, the words of each lane, and what the range
+coder put out for each (what follows is read as 0). A file is a Parquet container of (part, block,
+first, n, doc, data): the files are in order, and so are the blocks of each.
 
 Defined results: a null or empty text is its end id alone. Rows that repeat an id are
 written each, in order of their texts. Null ids come first and are read as null. An empty
@@ -43,78 +46,84 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import scratch, texts
+from millrace.llm.shared import scratch, stored, texts
 
-#: Ids of a block, blocks that are coded side by side, words whose ids are kept.
-BLOCK, LANES, KEPT = 1 << 16, 128, 300_000
-MAGIC, VERSION, NULL_ID = b"MRTB", 2, -(2**63)
+#: Ids of a block, blocks that are coded at once, words whose ids are kept.
+BLOCK, LANES, KEPT = 1 << 18, 10, 300_000
+MAGIC, VERSION, NULL_ID = b"MRTB", 3, -(2**63)
 HEAD, PART = struct.Struct("<4sBBIIII"), struct.Struct("<IIBq")
-#: Ranks of a group, bits of the slots of order 2, what a count grows by, sum of weights from which they are halved.
-_GROUP, _ORDER2, _GROWTH, _WEIGHTS = 64, 16, 2, 400
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48 = np.uint64(16), np.uint64(48)
+#: Ids of a lane and bits of the slots of order 2 and of trust, as powers of two; what a count grows by.
+_LANE, _ORDER2, _TRUST, _GROWTH = 9, 17, 3, 2
+_SURE, _LOW, _32 = (1 << _TRUST) - 1, np.uint64(1 << 32), np.uint64(32)
+#: The pattern whose words WordIds finds by itself; words that the library gets in one text.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_JOINED = 1000
 
 
 class _Range:
-    """A range coder in each lane. Intervals never straddle what was put out: a range that gets too small is cut down instead."""
+    """A range coder in each lane: 64-bit ranges, of which 32 bits are put out at a time; carries go back into what was put out."""
 
-    def __init__(self, lanes: int, data: list[np.ndarray] | None, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.at, self.rows = np.zeros(lanes, np.int64), {}
-        self.decodes = data is not None
+    def __init__(self, lanes: int, data: tuple[np.ndarray, np.ndarray] | None, room: int):
+        self.range = np.full(lanes, 2**64 - 1, np.uint64)
+        self.at = np.zeros(lanes, np.int64)
         if data is None:
-            self.words = np.zeros((lanes, room), np.uint16)
-        else:
-            self.words = np.zeros((lanes, max(map(len, data)) + 8), np.uint16)
-            for k, x in enumerate(data):
-                self.words[k, : len(x)] = x
-            self.code = np.zeros(lanes, np.uint64)
-            for k in range(4):
-                self.code = self.code << _16 | self.words[:, k]
-            self.at += 4
-
-    def symbol(self, m: int, counts: np.ndarray, given: np.ndarray | None) -> np.ndarray:
-        """Codes a symbol in lanes 0 .. m - 1; counts: how often each symbol is expected, a row for each lane."""
-        low, whole = self.low[:m], self.range[:m]
-        n = counts.shape[1]
-        ends = np.cumsum(counts, 1, dtype=np.int64).view(np.uint64)
-        whole //= ends[:, -1]
-        if given is None:
-            at = np.minimum((self.code[:m] - low) // whole, ends[:, -1] - np.uint64(1))
-            given = (ends <= at[:, None]).sum(1)
-        at = self.rows[n][:m] + given if n in self.rows else self._rows(n)[:m] + given
-        size = counts.take(at).view(np.uint64)
-        low += whole * (ends.take(at) - size)
-        whole *= size
-        self._shift(m)
-        return given
-
-    def _rows(self, n: int) -> np.ndarray:
-        self.rows[n] = np.arange(len(self.low)) * n
-        return self.rows[n]
-
-    def _shift(self, m: int) -> None:
-        low, whole = self.low[:m], self.range[:m]
-        settled = (low ^ (low + whole)) < _TOP
-        i = np.flatnonzero(settled | (whole < _LOW))
+            self.low, self.words = np.zeros(lanes, np.uint64), np.zeros((lanes, room), np.uint32)
+            return
+        words, sizes = data
+        halves = np.zeros((lanes, (int(sizes.max()) // 2 + 4) * 2), np.uint32)
+        halves[np.repeat(np.arange(lanes), sizes), _ragged(np.zeros(lanes, np.int64), sizes)] = words
+        self.words = halves[:, ::2] << 16 | halves[:, 1::2]
+        self.code = self.words[:, 0].astype(np.uint64) << _32 | self.words[:, 1]
+        self.at += 2
+
+    def expected(self, m: int, total: np.ndarray) -> np.ndarray:
+        """Decoding, where in 0 .. total - 1 the next symbol of lanes 0 .. m - 1 is; ranges become those of 1."""
+        whole, t = self.range[:m], total.view(np.uint64)
+        whole //= t
+        return np.minimum(self.code[:m] // whole, t - np.uint64(1)).view(np.int64)
+
+    def taken(self, before: np.ndarray, size: np.ndarray) -> None:
+        """Decoding, after expected(): the symbols were these."""
+        whole, code = self.range[: len(size)], self.code[: len(size)]
+        code -= whole * before.view(np.uint64)
+        whole *= size.view(np.uint64)
+        i = np.flatnonzero(whole < _LOW)
+        at = self.at[i]
+        whole[i] <<= _32
+        code[i] = code[i] << _32 | self.words[i, np.minimum(at, self.words.shape[1] - 1)]
+        self.at[i] = at + 1
+
+    def put(self, before: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        whole, low = self.range[: len(size)], self.low[: len(size)]
+        whole //= total.view(np.uint64)
+        more = whole * before.view(np.uint64)
+        low += more
+        self._carry(np.flatnonzero(low < more))
+        whole *= size.view(np.uint64)
+        i = np.flatnonzero(whole < _LOW)
+        at, out = self.at[i], low[i]
+        whole[i] <<= _32
+        self.words[i, at] = out >> _32
+        low[i] = out << _32
+        self.at[i] = at + 1
+
+    def _carry(self, i: np.ndarray) -> None:
+        at = self.at[i] - 1
         while len(i):
-            a, r = low[i], np.where(settled[i], whole[i], (~low[i] + np.uint64(1)) & (_LOW - np.uint64(1)))
-            if self.decodes:
-                self.code[i] = self.code[i] << _16 | self.words[i, np.minimum(self.at[i], self.words.shape[1] - 1)]
-            else:
-                self.words[i, self.at[i]] = (a >> _48).astype(np.uint16)
-            self.at[i] += 1
-            low[i], whole[i] = a << _16, r << _16
-            a, r = low[i], whole[i]
-            again = (a ^ (a + r)) < _TOP
-            settled[i] = again
-            i = i[again | (r < _LOW)]
-
-    def finished(self) -> list[np.ndarray]:
-        for k in (48, 32, 16, 0):
-            self.words[np.arange(len(self.low)), self.at] = (self.low >> np.uint64(k)).astype(np.uint16)
-            self.at += 1
-        return [self.words[k, :n].copy() for k, n in enumerate(self.at)]
+            self.words[i, at] += np.uint32(1)
+            again = self.words[i, at] == 0
+            i, at = i[again], at[again] - 1
+
+    def finished(self) -> tuple[np.ndarray, np.ndarray]:
+        """A row of u16 words for each lane, and how many count: what follows is read as 0."""
+        short = self.low + np.uint64(2**48 - 1) & ~np.uint64(2**48 - 1)  # a number of the range in as few words as can be
+        long = self.low + np.uint64(2**32 - 1) & ~np.uint64(2**32 - 1)
+        last = np.where(short - self.low < self.range, short, long)
+        self._carry(np.flatnonzero(last < self.low))
+        self.words[np.arange(len(self.at)), self.at] = last >> _32
+        words = self.words[:, : self.at.max() + 1]
+        halves = np.stack([words >> 16, words & 0xFFFF], 2).astype(np.uint16).reshape(len(words), -1)
+        return halves, ((halves != 0) * np.arange(1, halves.shape[1] + 1)).max(1)
 
 
 def _alphabet_words(alphabet: np.ndarray) -> np.ndarray:
@@ -134,117 +143,231 @@ def _bit_words(bits: np.ndarray) -> np.ndarray:
 def _alphabet(words: np.ndarray) -> tuple[np.ndarray, int]:
     """The ids, and how many words they take."""
     n, k = int(words[0]) | int(words[1]) << 16, int(words[2])
-    bits = np.unpackbits(words[3:].astype("<u2").view(np.uint8), bitorder="little")
-    ones = np.flatnonzero(bits)[:n]
+    room = n // 8 + 16  # words of quotients looked at; they are about two bits each
+    ones = np.zeros(0, np.int64)
+    while len(ones) < n:
+        room *= 2
+        bits = np.unpackbits(words[3 : 3 + room].astype("<u2").view(np.uint8), bitorder="little")
+        ones = np.flatnonzero(bits)[:n]
+        if room > len(words):
+            break
     at = -(-(int(ones[-1]) + 1) // 16) * 16
+    bits = np.unpackbits(words[3 : 3 + at // 16 + -(-n * k // 16)].astype("<u2").view(np.uint8), bitorder="little")
     rest = bits[at : at + n * k].reshape(n, k).astype(np.int64) << np.arange(k)
     return np.cumsum(((np.diff(ones, prepend=-1) - 1) << k) + rest.sum(1) + 1) - 1, 3 + at // 16 + -(-n * k // 16)
 
 
-def _code(sizes: list[int], letters: list[int], ranks: list[np.ndarray] | None, data: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Encodes ranks, or decodes data, of blocks of these sizes, longest first, with so many ranks each."""
-    lanes, most, groups = len(sizes), max(sizes), -(-max(letters) // _GROUP)
-    coder = _Range(lanes, data, most * 4 + 16)
-    table = np.zeros((most, lanes), np.int32)
-    for k, x in enumerate(ranks or []):
-        table[: len(x), k] = x
-    # Each lane's own tables, flat: counts of ranks and of groups; four times the predicted rank, plus the trust in it.
-    count = (np.arange(groups * _GROUP) < np.array(letters)[:, None]).astype(np.int32)
-    by_group = count.reshape(lanes, groups, _GROUP).sum(2, dtype=np.int64)
-    rows, flat, flat_groups = count.reshape(-1, _GROUP), count.ravel(), by_group.ravel()
-    total = np.array(letters, np.int64)
-    next1, next2 = np.zeros(lanes * groups * _GROUP, np.int32), np.zeros(lanes << _ORDER2, np.int32)
-    # Weights by lane, trust in both and whether both agree: neither, order 1, order 2.
-    weights = np.ones((lanes * 32, 3), np.int64)
-    flat_weights = weights.ravel()
-    lane = np.arange(lanes)
-    base_group, base1, base2, base_context, base_row = lane * groups, lane * (groups * _GROUP), lane << _ORDER2, lane * 32, lane * _GROUP
-    last, slot = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    alive = np.searchsorted(-np.array(sizes), -np.arange(most), "left")  # lanes that have an id at each place
-
-    for t in range(most):
-        m = int(alive[t])
-        at1, at2 = base1[:m] + last[:m], base2[:m] + slot[:m]
-        held1, held2 = next1.take(at1), next2.take(at2)
-        said1, said2 = held1 >> 2, held2 >> 2
-        trust1, trust2 = held1 & 3, held2 & 3
-        context = base_context[:m] + (trust2 * 4 + trust1) * 2 + (said1 == said2)
-        weight = weights.take(context, 0)
-        more = np.minimum(weight[:, 1:] * total[:m, None] // weight[:, :1], total[:m, None] << 8)
-        more1, more2 = more[:, 0], more[:, 1]
-        group1, group2 = said1 >> 6, said2 >> 6
-        true = None if ranks is None else table[t, :m]
-
-        counts = by_group[:m].copy()
-        view = counts.ravel()
-        view[base_group[:m] + group1] += more1
-        view[base_group[:m] + group2] += more2
-        group = coder.symbol(m, counts, None if true is None else true >> 6)
-        row = base_group[:m] + group
-        counts = rows.take(row, 0).astype(np.int64)
-        view = counts.ravel()
-        view[base_row[:m] + (said1 & 63)] += more1 * (group1 == group)
-        view[base_row[:m] + (said2 & 63)] += more2 * (group2 == group)
-        which = coder.symbol(m, counts, None if true is None else true & 63)
-        if true is None:
-            true = group * _GROUP + which
+def _lanes(n: int) -> int:
+    return max(1, n >> _LANE)
+
+
+def _code(sizes: list[int], letters: list[int], ranks: list[np.ndarray] | None, data: list[tuple[np.ndarray, np.ndarray]] | None) -> list:
+    """Encodes ranks of blocks, or decodes data: (words, how many of each lane). The blocks share steps and nothing else.
+
+    Ranks, predictions and counts of all blocks lie one after another: `base` is where a block's begin.
+    """
+    blocks = len(sizes)
+    n_lanes = np.array([_lanes(n) for n in sizes])
+    block = np.repeat(np.arange(blocks), n_lanes)
+    number = _ragged(np.zeros(blocks, np.int64), n_lanes)
+    # A block's first lanes may be one id longer than the others.
+    least, longer = np.array(sizes) // n_lanes, np.array(sizes) % n_lanes
+    length, begin = least[block] + (number < longer[block]), least[block] * number + np.minimum(number, longer[block])
+    order = np.argsort(-length, kind="stable")  # a block's own lanes stay in order
+    block, length, begin = block[order], length[order], begin[order]
+    rows = [np.flatnonzero(block == k) for k in range(blocks)]
+    steps, lanes = int(length[0]), len(block)
+    alive = np.searchsorted(-length, -np.arange(steps), "left")  # lanes that have an id at each step
+    base = np.cumsum(letters) - letters
+    all_letters = sum(letters)
+    first = base[block]
+
+    table = np.full((steps, lanes), all_letters)
+    if ranks is not None:
+        flat, at = np.concatenate(ranks), begin + (np.cumsum(sizes) - sizes)[block]
+        for t, m in enumerate(alive.tolist()):
+            table[t, :m] = flat.take(at[:m] + t) + first[:m]
+        coder = _Range(lanes, None, steps + 8)
+    else:
+        place = np.concatenate(rows)
+        some, each = np.concatenate([x for x, _ in data]), np.zeros(lanes, np.int64)
+        each[place] = np.concatenate([x for _, x in data])
+        from_ = np.zeros(lanes, np.int64)
+        from_[place] = np.cumsum(each[place]) - each[place]
+        coder = _Range(lanes, (some.take(_ragged(from_, each)), each), 0)
+    # What a block's lanes share: counts of ranks and their sums up to each; the predicted rank of a context, shifted, plus the trust in it.
+    count = np.ones(all_letters + 1, np.int64)
+    next1, next2 = np.repeat(base << _TRUST, letters), np.repeat(base << _TRUST, 1 << _ORDER2)
+    # How often order 0, 1 and 2 came true, by trust in both and whether both agree.
+    contexts = 2 << 2 * _TRUST
+    weights = np.ones((blocks * contexts, 3), np.int64)
+    counted, due = 0, 0
+    last, slot = first.copy(), block << _ORDER2
+    first_context, first_slot = block * contexts, block << _ORDER2
+
+    for t, m in enumerate(alive.tolist()):
+        if t >= due:  # ever rarer: counts that have grown little needn't be summed anew
+            if t:
+                count += _GROWTH * np.bincount(table[counted:t].ravel(), minlength=all_letters + 1)
+            ends = np.cumsum(count[:-1])
+            below = ends[base] - count[base]
+            total = np.diff(np.append(below, ends[-1]))
+            lane_below, lane_total, block_total = below[block], total[block], np.repeat(total, contexts)[:, None]
+            counted, due = t, t + 1 + (t >> 4)
+        if t & 3 == 0 or t < 64:
+            more1, more2 = np.minimum(weights[:, 1:] * block_total // weights[:, :1], block_total << 7).T.copy()
+        last, slot = last[:m], slot[:m]
+        held1, held2 = next1.take(last), next2.take(slot)
+        said1, said2 = held1 >> _TRUST, held2 >> _TRUST
+        trust1, trust2 = held1 & _SURE, held2 & _SURE
+        context = first_context[:m] + (trust2 << _TRUST + 1) + (trust1 << 1) + (said1 == said2)
+        extra1, extra2 = more1.take(context), more2.take(context)
+        whole = lane_total[:m] + extra1 + extra2
+        # Order 0 gives each rank its count; what is added to the predicted ranks lies at the ends of theirs.
+        if ranks is not None:
+            true = table[t, :m]
+        else:
+            at = coder.expected(m, whole) + lane_below[:m]
+            end = ends.take(said1) + extra2 * (said2 < said1) - 1
+            at = np.minimum(at, np.maximum(end, at - extra1))
+            at = np.minimum(at, np.maximum(ends.take(said2) - 1, at - extra2))
+            true = np.searchsorted(ends, at, "right")
             table[t, :m] = true
-
-        flat[row * _GROUP + which] += _GROWTH
-        flat_groups[row] += _GROWTH
-        total[:m] += _GROWTH
         hit1, hit2 = said1 == true, said2 == true
-        flat_weights[context * 3 + np.where(hit2, 2, hit1)] += 1
-        if t & 127 == 127:
-            weights[weights.sum(1) > _WEIGHTS] += 1
-            weights[weights.sum(1) > _WEIGHTS] >>= 1
-        # A prediction that fails is trusted less, one without trust is replaced.
-        fresh = true << 2
-        next1[at1] = np.where(hit1, held1 + (trust1 < 3), np.where(trust1 > 0, held1 - 1, fresh))
-        next2[at2] = np.where(hit2, held2 + (trust2 < 3), np.where(trust2 > 0, held2 - 1, fresh))
-        now = true.astype(np.int64)
-        slot[:m] = (now * 2654435761 + last[:m] * 40503 * 65537) >> 13 & (1 << _ORDER2) - 1
-        last[:m] = now
-    return coder.finished() if ranks is not None else [table[:n, k].astype(np.int64) for k, n in enumerate(sizes)]
+        size = count.take(true)
+        before = ends.take(true) - size - lane_below[:m] + extra1 * (said1 < true) + extra2 * (said2 < true)
+        size += extra1 * hit1 + extra2 * hit2
+        if ranks is not None:
+            coder.put(before, size, whole)
+        else:
+            coder.taken(before, size)
+        weights += np.bincount(context * 3 + np.maximum(hit1, hit2 * 2), minlength=weights.size).reshape(weights.shape)
+        # A prediction that fails is trusted less, one without trust is replaced. Of lanes in one context the last counts.
+        fresh = true << _TRUST
+        next1[last] = np.where(hit1, held1 + (trust1 < _SURE), np.where(trust1 > 0, held1 - 1, fresh))
+        next2[slot] = np.where(hit2, held2 + (trust2 < _SURE), np.where(trust2 > 0, held2 - 1, fresh))
+        slot = first_slot[:m] + (((true - first[:m]) * 2654435761 + (last - first[:m]) * 2654404609 >> 13) & (1 << _ORDER2) - 1)
+        last = true
+    if ranks is not None:
+        words, n = coder.finished()
+        return [(words[r][np.arange(words.shape[1]) < n[r][:, None]], n[r]) for r in rows]
+    out = [np.zeros(n, np.int64) for n in sizes]
+    for x, r, a in zip(out, rows, base, strict=True):
+        for t in range(int(length[r[0]])):
+            live = r[: np.searchsorted(r, alive[t])]
+            x[begin[live] + t] = table[t, live] - a
+    return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """Payloads of blocks of at most 2**18 ids below 2**32 - 1."""
     if max(map(len, blocks), default=0) > 1 << 18:
         raise ValueError("a block has at most 2**18 ids")
+    found = {k: np.unique(x, return_inverse=True) for k, x in enumerate(blocks) if len(x)}
+    out = [np.zeros(0, np.uint16)] * len(blocks)
+    if found:
+        coded = _code([len(r) for _, r in found.values()], [len(a) for a, _ in found.values()], [r for _, r in found.values()], None)
+        for (k, (alphabet, _)), (words, sizes) in zip(found.items(), coded, strict=True):
+            out[k] = np.concatenate([_alphabet_words(alphabet), sizes.astype(np.uint16), words])
+    return out
 
-    def run(some: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
-        found = [np.unique(x, return_inverse=True) for x in some]
-        coded = _code(sizes, [len(a) for a, _ in found], [r for _, r in found], None)
-        return [np.concatenate([_alphabet_words(a), x]) for (a, _), x in zip(found, coded, strict=True)]
 
-    return _ordered(blocks, [len(x) for x in blocks], run)
+def decode_blocks(payloads: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+    out = [np.zeros(0, np.int64)] * len(sizes)
+    full = [k for k, n in enumerate(sizes) if n]
+    if full:
+        data, alphabets = [], []
+        for k in full:
+            alphabet, at = _alphabet(payloads[k])
+            begin = at + _lanes(sizes[k])
+            alphabets.append(alphabet)
+            data.append((payloads[k][begin:], payloads[k][at:begin].astype(np.int64)))
+        for k, alphabet, ranks in zip(full, alphabets, _code([sizes[k] for k in full], list(map(len, alphabets)), None, data), strict=True):
+            out[k] = alphabet[ranks]
+    return out
 
 
-def decode_blocks(payloads: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
-    def run(some: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
-        found = [_alphabet(x) for x in some]
-        ranks = _code(sizes, [len(a) for a, _ in found], None, [x[n:] for (_, n), x in zip(found, some, strict=True)])
-        return [a[np.minimum(r, len(a) - 1)] for (a, _), r in zip(found, ranks, strict=True)]
+class _Numbers:
+    """Numbers 0, 1, ... for keys in the order they came, in a table with open addressing."""
 
-    return _ordered(payloads, sizes, run)
+    def __init__(self, bits: int):
+        self.shift, self.mask, self.n = np.uint64(64 - bits), (1 << bits) - 1, 0
+        self.slots, self.keys = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits - 1, np.uint64)
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1: not there."""
+        at = (keys >> self.shift).astype(np.int64)
+        out = self.slots.take(at)
+        left = np.flatnonzero((out >= 0) & (self.keys.take(out) != keys))
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            out[left] = self.slots[at[left]]
+            left = left[(out[left] >= 0) & (self.keys[out[left]] != keys[left])]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Keys that are not there yet, each once; at most half the slots are used."""
+        number = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.keys[number] = keys
+        self.n += len(keys)
+        at = (keys >> self.shift).astype(np.int64)
+        while len(at):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = number[free]
+            left = self.slots[at] != number
+            at, number = at[left] + 1 & self.mask, number[left]
 
-def _ordered(items: list[np.ndarray], sizes: list[int], run: Callable) -> list[np.ndarray]:
-    """run() on all that isn't empty, longest first."""
-    order = sorted(range(len(items)), key=lambda k: -sizes[k])
-    out = [np.zeros(0, np.int64)] * len(items)
-    order = [k for k in order if sizes[k]]
-    if order:
-        for k, x in zip(order, run([items[k] for k in order], [sizes[k] for k in order]), strict=True):
-            out[k] = x
-    return out
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class _Store:
+    """Stretches of numbers, one after another in an array that grows."""
+
+    def __init__(self, kind: type):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, x: np.ndarray) -> int:
+        """Where x begins."""
+        at = self.used
+        self.used += len(x)
+        if self.used > len(self.data):
+            self.data = np.concatenate([self.data[:at], np.zeros(2 * self.used - at, self.data.dtype)])
+        self.data[at : self.used] = x
+        return at
+
+
+class _Known:
+    """Words whose ids are known: their letters, and their ids."""
+
+    def __init__(self, kind: type):
+        self.numbers, self.letters, self.ids = _Numbers(21), _Store(np.uint16), _Store(kind)
+        self.of = _Store(np.int64), _Store(np.int64), _Store(np.int64), _Store(np.int64)  # first letter, letters, first id, ids
+
+    def add(self, keys: np.ndarray, letters: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.numbers.add(keys)
+        a, b = self.letters.add(letters), self.ids.add(ids)
+        for store, x in zip(self.of, (np.cumsum(sizes) - sizes + a, sizes, np.cumsum(counts) - counts + b, counts), strict=True):
+            store.add(x)
 
 
 class WordIds:
-    """Ids of texts, word by word: equal to the library's for texts in the letters that `_PLAIN` allows; others, and those with `<|`, it encodes itself."""
+    """Ids of texts, word by word: equal to the library's for texts in the letters that `_PLAIN` allows; others, and those with `<|`, it encodes whole.
+
+    Letters have classes; words are runs of a class (digits alone), but for the endings after an apostrophe. The library encodes
+    each word once. It is known by its fingerprint from then on, and its letters are compared with those that the library got.
+    """
 
-    _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
+    #: Texts with other letters, or with such whose small letter is several or beyond them, are left to the library.
+    _PLAIN = re.compile("[^" + re.escape("".join(c for c in map(chr, (*b"\t\n\r", *range(0x20, 0x7F), *range(0xA1, 0x250))) if len(c.lower()) == 1 and ord(c.lower()) < 0x250)) + "]")
+    _CHARS = 1 << 19
 
     def __init__(self, path: str):
         import json
@@ -259,34 +382,122 @@ class WordIds:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         lower = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
         split = steps[0].get("pattern", {}).get("Regex") if steps[0].get("type") == "Split" and steps[0].get("invert") and len(steps) == 2 else None
-        self.words = regex.compile(split) if lower and split and not spec["model"].get("dropout") else None
+        model = spec["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.plain = bool(lower and split == _SPLIT and suffix and not model.get("dropout"))
         self.width = np.uint16 if self.library.get_vocab_size() < 65535 else np.uint32
-        self.known: dict[str, bytes] = {}
+        #: Whether an id ends a word.
+        self.final = np.zeros(max(model["vocab"].values()) + 1, bool)
+        if self.plain:
+            self.final[[k for x, k in model["vocab"].items() if x.endswith(suffix)]] = True
+        letters = [chr(c) for c in range(0x250)]
+        self.classes = np.array([0 if c.isspace() else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3 for c in letters], np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """A worker that lives on should not hold large tables."""
+        self.known = _Known(self.width)
+        self.powers: tuple[np.ndarray, np.ndarray] | None = None
 
     def _by_library(self, texts_: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch(texts_, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces that end with a space, of at most `_CHARS` letters where there are spaces."""
+        out = []
+        while len(text) > self._CHARS:
+            at = text.rfind(" ", 0, self._CHARS) + 1
+            if not at:
+                break
+            out.append(text[:at])
+            text = text[at:]
+        return [*out, text]
+
     def encode(self, texts_: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of `width`."""
         out: list[bytes] = [b""] * len(texts_)
-        cut: dict[int, list[str]] = {}
         odd: list[int] = []
+        pieces: list[tuple[int, str]] = []
         for k, t in enumerate(texts_):
-            if self.words is None or "<|" in t or self._PLAIN.search(t):
+            if not self.plain or "<|" in t or self._PLAIN.search(t):
+                odd.append(k)
+                continue
+            cut = self._pieces(t)
+            if max(map(len, cut)) > self._CHARS:
                 odd.append(k)
             else:
-                cut[k] = self.words.findall(t.lower())
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        new = list({w for words in cut.values() for w in words if w not in known})
-        known.update(zip(new, self._by_library(new), strict=True))
-        for k, words in cut.items():
-            out[k] = b"".join(map(known.__getitem__, words))
+                pieces += [(k, x) for x in cut]
+        at = 0
+        while at < len(pieces):
+            end, n = at, 0
+            while end < len(pieces) and n + len(pieces[end][1]) < 2 * self._CHARS - 8 - (end - at):
+                n += len(pieces[end][1])
+                end += 1
+            found = self._plain([x for _, x in pieces[at:end]])
+            for (k, _), x in zip(pieces[at:end], found, strict=True):
+                out[k] += x
+            at = end
         for k, x in zip(odd, self._by_library([texts_[k] for k in odd]), strict=True):
             out[k] = x
         return out
 
+    def _plain(self, texts_: list[str]) -> list[bytes]:
+        text = np.frombuffer(("\n".join(texts_).lower() + "\n   ").encode("utf-16-le"), np.uint16)
+        kind = self.classes.take(text)
+        inside = kind > 0
+        start = inside.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        mark = np.flatnonzero((text == 39) & start)
+        a, b = text[mark + 1], text[mark + 2]
+        one = mark[(a == 115) | (a == 116) | (a == 109) | (a == 100)]  # 's 't 'm 'd
+        two = mark[(((a == 114) | (a == 118)) & (b == 101)) | ((a == 108) & (b == 108))]  # 're 've 'll
+        start[one + 1] = start[two + 1] = False
+        start[one + 2], start[two + 3] = inside[one + 2], inside[two + 3]
+        first = np.flatnonzero(start)
+        last = inside.copy()
+        last[:-1] &= start[1:] | ~inside[1:]
+        size = np.flatnonzero(last) + 1 - first
+
+        if self.powers is None:
+            odd = np.full(2 * self._CHARS, 0x2545F4914F6CDD1D, np.uint64)
+            back = np.full(2 * self._CHARS, pow(0x2545F4914F6CDD1D, -1, 2**64), np.uint64)
+            odd[0] = back[0] = 1
+            self.powers = np.cumprod(odd), np.cumprod(back)
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum((text + np.uint64(1)) * self.powers[0][: len(text)], out=sums[1:])
+        key = _mixed((sums.take(first + size) - sums.take(first)) * self.powers[1].take(first) + size.astype(np.uint64))
+
+        if self.known.numbers.n > KEPT:
+            self.known = _Known(self.width)
+        word = self.known.numbers.find(key)
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            fresh, at = np.unique(key[new], return_index=True)
+            self._learn(text, fresh, first[new[at]], size[new[at]])
+            word[new] = self.known.numbers.find(key[new])
+        letter, letters, first_id, ids = (x.data.take(word) for x in self.known.of)
+        if (letters != size).any() or (self.known.letters.data.take(_ragged(letter, letters)) != text[inside]).any():
+            return self._by_library(texts_)  # words of one fingerprint
+        found = self.known.ids.data.take(_ragged(first_id, ids))
+        ends = np.concatenate([[0], np.cumsum(ids)])
+        sizes = np.array([len(x) + 1 for x in texts_])
+        at = ends[np.searchsorted(first, np.concatenate([[0], np.cumsum(sizes)]))]
+        return [found[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _learn(self, text: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """The library encodes the words, many at once, each with a space after it."""
+        ends = np.cumsum(size + 1)
+        begins, letters = ends - size - 1, text[_ragged(first, size)]
+        spaced = np.full(int(ends[-1]), 32, np.uint16)
+        spaced[_ragged(begins, size)] = letters
+        cuts = [*begins[::_JOINED].tolist(), len(spaced)]
+        joined = [spaced[i:j].tobytes().decode("utf-16-le") for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids = np.concatenate([np.array(e.ids, self.width) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
+        counts = np.diff(np.flatnonzero(self.final.take(ids)), prepend=-1)
+        if len(counts) != len(keys) or counts.sum() != len(ids):
+            raise ValueError("the tokenizer's words are not those of its pattern")
+        self.known.add(keys, letters, size, ids, counts)
+
 
 _by_path: dict[str, WordIds] = {}
 
@@ -349,7 +560,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str =
             ready.append((first_doc, bytes(held), parts))
         if ready:
             yield flush()
-        ids.known = {}  # a worker that lives on should not hold a large table
+        ids.forget()
 
     rows = texts(docs, id_col, text_col)
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -438,7 +649,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         base.append((part, total))
         total += n
     bases = F.broadcast(spark.createDataFrame(base, "part int, base long"))  # a row for each file
-    pieces = files.select("part", "first", "doc", "data").mapInArrow(run, "part int, doc long, doc_id long, first long, n long, crc long, whole boolean").join(bases, "part")
+    pieces = files.select("part", "first", "doc", "data").mapInArrow(run, "part int, doc long, doc_id long, first long, n long, crc long, whole boolean")
+    pieces = stored(pieces, "token-pieces", tidy=False).join(bases, "part")  # read twice: blocks are decoded once
     whole = pieces.filter("whole").select("doc_id", (F.col("base") + F.col("first")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     cut = pieces.filter(~F.col("whole")).groupBy("part", "doc", "doc_id", "base").agg(F.min("first").alias("first"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("first", "n", "crc")).alias("pieces"))
     return whole.union(cut.select("doc_id", F.col("base") + F.col("first"), "n_tokens", joined("pieces")))

@@ -95,6 +95,43 @@ def test_blocks_round_trip(top):
     assert (alone == payloads[1]).all()  # a block doesn't depend on its neighbours
 
 
+def test_blocks_of_many_lanes_round_trip():
+    rng = np.random.default_rng(7)
+    blocks = [rng.integers(0, top, n) ** 2 for n, top in ((1023, 9), (1024, 200), (5000, 3), (70_001, 220), (2600, 2**15))] + [np.zeros(20_000, np.int64), np.tile([5, 0, 7], 4000)]
+    payloads = token_blocks.encode_blocks(blocks)
+    back = token_blocks.decode_blocks(payloads, [len(b) for b in blocks])
+    assert all(a.tolist() == b.tolist() for a, b in zip(blocks, back, strict=True))
+    for k in (3, 6):
+        assert (token_blocks.encode_blocks([blocks[k]])[0] == payloads[k]).all()
+        assert (token_blocks.decode_blocks([payloads[k]], [len(blocks[k])])[0] == blocks[k]).all()
+
+
+def test_blocks_take_little_time():
+    import time
+
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()
+    w = token_blocks.WordIds(WORDS)
+    ids = np.frombuffer(b"".join(w.encode([t or "" for t in docs["text"]])), w.width).astype(np.int64)
+    blocks = [ids[k : k + token_blocks.BLOCK] for k in range(0, len(ids), token_blocks.BLOCK)]
+    start = time.process_time()
+    back = token_blocks.decode_blocks(token_blocks.encode_blocks(blocks), [len(b) for b in blocks])
+    assert (time.process_time() - start) / len(ids) < 8e-6
+    assert (np.concatenate(back) == ids).all()
+
+
+def test_words_equal_the_librarys_pattern():
+    w = token_blocks.WordIds(WORDS)
+    rng = random.Random(8)
+    letters, few = [*map(chr, [*range(32, 127), *range(0xA1, 0x250)]), "\t", "\n", "\r"], list("''''strevlmd  !.12aé\n")
+    for chars in (1 << 19, 1 << 7):
+        w._CHARS = chars
+        w.forget()
+        texts = ["".join(rng.choice(rng.choice((letters, few))) for _ in range(rng.randrange(400))) for _ in range(300)] + ["".join(rng.choice(few) for _ in range(30)) for _ in range(300)]
+        texts += ["", "'", "a'", "'ll", "'l", "é" * 900 + " a", "it's " * 90]
+        for t, x, e in zip(texts, w.encode(texts), w.library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(x, w.width).tolist() == e.ids, t
+
+
 def test_alphabets_round_trip():
     rng = np.random.default_rng(6)
     for n, top in ((1, 2**32 - 2), (2, 2**32 - 2), (300, 400), (5000, 49_000), (900, 2**32 - 2)):

@@ -132,6 +132,27 @@ def test_suffix_dedup_edges(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_structured_bytes(spark):
+    """Two stretches of 184 bytes whose sums of byte times power agree modulo 2**64 for any base that is 3 modulo 8 aren't equal."""
+    c = np.array([1])
+    for a in (1, 2, 4, 4, 4, 8, 8, 8, 16, 16, 16, 32, 64):  # multiples of 2, 8, 16, 32 ...: 2**64 in all
+        c = np.convolve(c, np.concatenate(([-1], np.zeros(a - 1, int), [1])))
+    two = [bytes((48 + np.maximum(s * c, 0)).astype(np.uint8)).decode() for s in (1, -1)]
+    rng = random.Random(1)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(6):
+        before, after = noise(300), noise(300)
+        texts += [before + x + after for x in two]
+        before, after = noise(300), noise(300)
+        texts += [noise(300) + before + x + after + noise(300) for x in two]
+    texts.append(texts[0])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    want = brute_repeats(texts, 400)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 0 < sum(w[1] for w in want) < sum(w[0] for w in want)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import scratch, stored, texts
 
 #: Ids of a block, blocks that are coded at once, words whose ids are kept.
-BLOCK, LANES, KEPT = 1 << 18, 10, 300_000
+BLOCK, LANES, KEPT = 1 << 18, 6, 700_000
 MAGIC, VERSION, NULL_ID = b"MRTB", 3, -(2**63)
 HEAD, PART = struct.Struct("<4sBBIIII"), struct.Struct("<IIBq")
 #: Ids of a lane and bits of the slots of order 2 and of trust, as powers of two; what a count grows by.
@@ -63,18 +63,26 @@ _JOINED = 1000
 class _Range:
     """A range coder in each lane: 64-bit ranges, of which 32 bits are put out at a time; carries go back into what was put out."""
 
-    def __init__(self, lanes: int, data: tuple[np.ndarray, np.ndarray] | None, room: int):
+    def __init__(self, lanes: int, data: list[np.ndarray] | None, room: int):
+        """data: decoding, the words of each lane. room: 32-bit words of a lane, of which each symbol takes one at most."""
         self.range = np.full(lanes, 2**64 - 1, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
         if data is None:
-            self.low, self.words = np.zeros(lanes, np.uint64), np.zeros((lanes, room), np.uint32)
-            return
-        words, sizes = data
-        halves = np.zeros((lanes, (int(sizes.max()) // 2 + 4) * 2), np.uint32)
-        halves[np.repeat(np.arange(lanes), sizes), _ragged(np.zeros(lanes, np.int64), sizes)] = words
-        self.words = halves[:, ::2] << 16 | halves[:, 1::2]
-        self.code = self.words[:, 0].astype(np.uint64) << _32 | self.words[:, 1]
-        self.at += 2
+            self.low = np.zeros(lanes, np.uint64)
+        else:
+            room = max(room, max(map(len, data)) // 2 + 1)
+            halves = np.zeros((lanes, 2 * room), np.uint16)
+            for row, x in zip(halves, data, strict=True):
+                row[: len(x)] = x
+        # Words of all lanes, one lane after another; where each lane is.
+        self.room, self.words = room, np.zeros(lanes * room, np.uint32)
+        self.begin = np.arange(0, lanes * room, room)
+        self.at = self.begin.copy()
+        if data is not None:
+            self.words += halves.ravel()[::2]
+            self.words <<= np.uint32(16)
+            self.words |= halves.ravel()[1::2]
+            self.code = self.words.take(self.at).astype(np.uint64) << _32 | self.words.take(self.at + 1)
+            self.at += 2
 
     def expected(self, m: int, total: np.ndarray) -> np.ndarray:
         """Decoding, where in 0 .. total - 1 the next symbol of lanes 0 .. m - 1 is; ranges become those of 1."""
@@ -88,9 +96,9 @@ class _Range:
         code -= whole * before.view(np.uint64)
         whole *= size.view(np.uint64)
         i = np.flatnonzero(whole < _LOW)
-        at = self.at[i]
-        whole[i] <<= _32
-        code[i] = code[i] << _32 | self.words[i, np.minimum(at, self.words.shape[1] - 1)]
+        at = self.at.take(i)
+        whole[i] = whole.take(i) << _32
+        code[i] = code.take(i) << _32 | self.words.take(at)
         self.at[i] = at + 1
 
     def put(self, before: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
@@ -101,18 +109,18 @@ class _Range:
         self._carry(np.flatnonzero(low < more))
         whole *= size.view(np.uint64)
         i = np.flatnonzero(whole < _LOW)
-        at, out = self.at[i], low[i]
-        whole[i] <<= _32
-        self.words[i, at] = out >> _32
+        at, out = self.at.take(i), low.take(i)
+        whole[i] = whole.take(i) << _32
+        self.words[at] = out >> _32
         low[i] = out << _32
         self.at[i] = at + 1
 
     def _carry(self, i: np.ndarray) -> None:
-        at = self.at[i] - 1
-        while len(i):
-            self.words[i, at] += np.uint32(1)
-            again = self.words[i, at] == 0
-            i, at = i[again], at[again] - 1
+        at = self.at.take(i) - 1
+        while len(at):
+            more = self.words.take(at) + np.uint32(1)
+            self.words[at] = more
+            at = at[more == 0] - 1
 
     def finished(self) -> tuple[np.ndarray, np.ndarray]:
         """A row of u16 words for each lane, and how many count: what follows is read as 0."""
@@ -120,8 +128,8 @@ class _Range:
         long = self.low + np.uint64(2**32 - 1) & ~np.uint64(2**32 - 1)
         last = np.where(short - self.low < self.range, short, long)
         self._carry(np.flatnonzero(last < self.low))
-        self.words[np.arange(len(self.at)), self.at] = last >> _32
-        words = self.words[:, : self.at.max() + 1]
+        self.words[self.at] = last >> _32
+        words = self.words.reshape(-1, self.room)[:, : (self.at - self.begin).max() + 1]
         halves = np.stack([words >> 16, words & 0xFFFF], 2).astype(np.uint16).reshape(len(words), -1)
         return halves, ((halves != 0) * np.arange(1, halves.shape[1] + 1)).max(1)
 
@@ -157,6 +165,16 @@ def _alphabet(words: np.ndarray) -> tuple[np.ndarray, int]:
     return np.cumsum(((np.diff(ones, prepend=-1) - 1) << k) + rest.sum(1) + 1) - 1, 3 + at // 16 + -(-n * k // 16)
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique() with return_inverse, without a sort where ids are small."""
+    top = int(ids.max())
+    if top >= 1 << 18:
+        return np.unique(ids, return_inverse=True)
+    here = np.zeros(top + 1, bool)
+    here[ids] = True
+    return np.flatnonzero(here), (np.cumsum(here) - 1).take(ids)
+
+
 def _lanes(n: int) -> int:
     return max(1, n >> _LANE)
 
@@ -176,28 +194,33 @@ def _code(sizes: list[int], letters: list[int], ranks: list[np.ndarray] | None,
     order = np.argsort(-length, kind="stable")  # a block's own lanes stay in order
     block, length, begin = block[order], length[order], begin[order]
     rows = [np.flatnonzero(block == k) for k in range(blocks)]
+    # (block, steps, lanes, ids of the block): lanes of a block that are of one length lie side by side.
+    runs = []
+    for k, (n, r) in enumerate(zip(least.tolist(), rows, strict=True)):
+        for size, some in ((n + 1, r[: longer[k]]), (n, r[longer[k] :])):
+            if len(some):
+                runs.append((k, size, slice(some[0], some[-1] + 1), slice(begin[some[0]], begin[some[-1]] + size)))
     steps, lanes = int(length[0]), len(block)
     alive = np.searchsorted(-length, -np.arange(steps), "left")  # lanes that have an id at each step
     base = np.cumsum(letters) - letters
     all_letters = sum(letters)
     first = base[block]
 
-    table = np.full((steps, lanes), all_letters)
+    table = np.full((steps, lanes), all_letters, np.int32)
     if ranks is not None:
-        flat, at = np.concatenate(ranks), begin + (np.cumsum(sizes) - sizes)[block]
-        for t, m in enumerate(alive.tolist()):
-            table[t, :m] = flat.take(at[:m] + t) + first[:m]
+        for k, n, across, ids in runs:
+            table[:n, across] = ranks[k][ids].reshape(-1, n).T + base[k]
         coder = _Range(lanes, None, steps + 8)
     else:
-        place = np.concatenate(rows)
-        some, each = np.concatenate([x for x, _ in data]), np.zeros(lanes, np.int64)
-        each[place] = np.concatenate([x for _, x in data])
-        from_ = np.zeros(lanes, np.int64)
-        from_[place] = np.cumsum(each[place]) - each[place]
-        coder = _Range(lanes, (some.take(_ragged(from_, each)), each), 0)
+        words_of: list = [None] * lanes
+        for r, (words, each) in zip(rows, data, strict=True):
+            ends = np.cumsum(each)
+            for lane, i, j in zip(r.tolist(), (ends - each).tolist(), ends.tolist(), strict=True):
+                words_of[lane] = words[i:j]
+        coder = _Range(lanes, words_of, steps + 8)
     # What a block's lanes share: counts of ranks and their sums up to each; the predicted rank of a context, shifted, plus the trust in it.
     count = np.ones(all_letters + 1, np.int64)
-    next1, next2 = np.repeat(base << _TRUST, letters), np.repeat(base << _TRUST, 1 << _ORDER2)
+    next1, next2 = np.repeat(base << _TRUST, letters), np.repeat((base << _TRUST).astype(np.int32), 1 << _ORDER2)
     # How often order 0, 1 and 2 came true, by trust in both and whether both agree.
     contexts = 2 << 2 * _TRUST
     weights = np.ones((blocks * contexts, 3), np.int64)
@@ -214,10 +237,14 @@ def _code(sizes: list[int], letters: list[int], ranks: list[np.ndarray] | None,
             total = np.diff(np.append(below, ends[-1]))
             lane_below, lane_total, block_total = below[block], total[block], np.repeat(total, contexts)[:, None]
             counted, due = t, t + 1 + (t >> 4)
+            if ranks is None:
+                # How many ranks end at or below each 2**fine-th place: what is sought lies a few ranks further at most.
+                fine = max(0, int(ends[-1] // all_letters).bit_length() - 3)
+                guide = np.cumsum(np.bincount((ends + (1 << fine) - 1) >> fine))
         if t & 3 == 0 or t < 64:
             more1, more2 = np.minimum(weights[:, 1:] * block_total // weights[:, :1], block_total << 7).T.copy()
         last, slot = last[:m], slot[:m]
-        held1, held2 = next1.take(last), next2.take(slot)
+        held1, held2 = next1.take(last), next2.take(slot).astype(np.int64)
         said1, said2 = held1 >> _TRUST, held2 >> _TRUST
         trust1, trust2 = held1 & _SURE, held2 & _SURE
         context = first_context[:m] + (trust2 << _TRUST + 1) + (trust1 << 1) + (said1 == said2)
@@ -225,13 +252,17 @@ def _code(sizes: list[int], letters: list[int], ranks: list[np.ndarray] | None,
         whole = lane_total[:m] + extra1 + extra2
         # Order 0 gives each rank its count; what is added to the predicted ranks lies at the ends of theirs.
         if ranks is not None:
-            true = table[t, :m]
+            true = table[t, :m].astype(np.int64)
         else:
             at = coder.expected(m, whole) + lane_below[:m]
             end = ends.take(said1) + extra2 * (said2 < said1) - 1
             at = np.minimum(at, np.maximum(end, at - extra1))
             at = np.minimum(at, np.maximum(ends.take(said2) - 1, at - extra2))
-            true = np.searchsorted(ends, at, "right")
+            true = guide.take(at >> fine)
+            i = np.flatnonzero(ends.take(true) <= at)
+            while len(i):
+                true[i] = more = true.take(i) + 1
+                i = i[ends.take(more) <= at.take(i)]
             table[t, :m] = true
         hit1, hit2 = said1 == true, said2 == true
         size = count.take(true)
@@ -252,10 +283,8 @@ def _code(sizes: list[int], letters: list[int], ranks: list[np.ndarray] | None,
         words, n = coder.finished()
         return [(words[r][np.arange(words.shape[1]) < n[r][:, None]], n[r]) for r in rows]
     out = [np.zeros(n, np.int64) for n in sizes]
-    for x, r, a in zip(out, rows, base, strict=True):
-        for t in range(int(length[r[0]])):
-            live = r[: np.searchsorted(r, alive[t])]
-            x[begin[live] + t] = table[t, live] - a
+    for k, n, across, ids in runs:
+        out[k][ids] = (table[:n, across].T - base[k]).ravel()
     return out
 
 
@@ -263,7 +292,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """Payloads of blocks of at most 2**18 ids below 2**32 - 1."""
     if max(map(len, blocks), default=0) > 1 << 18:
         raise ValueError("a block has at most 2**18 ids")
-    found = {k: np.unique(x, return_inverse=True) for k, x in enumerate(blocks) if len(x)}
+    found = {k: _ranked(x) for k, x in enumerate(blocks) if len(x)}
     out = [np.zeros(0, np.uint16)] * len(blocks)
     if found:
         coded = _code([len(r) for _, r in found.values()], [len(a) for a, _ in found.values()], [r for _, r in found.values()], None)
@@ -367,7 +396,9 @@ class WordIds:
 
     #: Texts with other letters, or with such whose small letter is several or beyond them, are left to the library.
     _PLAIN = re.compile("[^" + re.escape("".join(c for c in map(chr, (*b"\t\n\r", *range(0x20, 0x7F), *range(0xA1, 0x250))) if len(c.lower()) == 1 and ord(c.lower()) < 0x250)) + "]")
-    _CHARS = 1 << 19
+    _CHARS = 1 << 18
+    #: Letters of the pieces that are looked up at once: the more, the more new words the library gets at once.
+    _AT_ONCE = 1 << 19
 
     def __init__(self, path: str):
         import json
@@ -385,17 +416,26 @@ class WordIds:
         model = spec["model"]
         suffix = model.get("end_of_word_suffix")
         self.plain = bool(lower and split == _SPLIT and suffix and not model.get("dropout"))
+        if self.plain:
+            # Words that are found here are small letters without spaces: the library needn't normalise or search them again.
+            words = spec | {"normalizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
+            words["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, steps[1]]}
+            self.word_library = Tokenizer.from_str(json.dumps(words))
         self.width = np.uint16 if self.library.get_vocab_size() < 65535 else np.uint32
         #: Whether an id ends a word.
         self.final = np.zeros(max(model["vocab"].values()) + 1, bool)
         if self.plain:
             self.final[[k for x, k in model["vocab"].items() if x.endswith(suffix)]] = True
-        letters = [chr(c) for c in range(0x250)]
-        self.classes = np.array([0 if c.isspace() else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3 for c in letters], np.uint8)
+        #: Of each UTF-16 unit, its class (4: none that `_PLAIN` allows) and its small letter.
+        self.classes, self.small = np.full(1 << 16, 4, np.uint8), np.zeros(1 << 16, np.uint16)
+        for c in map(chr, range(0x250)):
+            if not self._PLAIN.match(c):
+                self.classes[ord(c)] = 0 if c.isspace() else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3
+                self.small[ord(c)] = ord(c.lower())
         self.forget()
 
     def forget(self) -> None:
-        """A worker that lives on should not hold large tables."""
+        """A worker that goes on to other work should not hold large tables."""
         self.known = _Known(self.width)
         self.powers: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -416,34 +456,41 @@ class WordIds:
     def encode(self, texts_: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of `width`."""
         out: list[bytes] = [b""] * len(texts_)
-        odd: list[int] = []
+        odd: set[int] = set()
         pieces: list[tuple[int, str]] = []
         for k, t in enumerate(texts_):
-            if not self.plain or "<|" in t or self._PLAIN.search(t):
-                odd.append(k)
-                continue
-            cut = self._pieces(t)
-            if max(map(len, cut)) > self._CHARS:
-                odd.append(k)
-            else:
+            cut = self._pieces(t) if self.plain and "<|" not in t else []
+            if cut and max(map(len, cut)) <= self._CHARS:
                 pieces += [(k, x) for x in cut]
+            else:
+                odd.add(k)
         at = 0
         while at < len(pieces):
-            end, n = at, 0
-            while end < len(pieces) and n + len(pieces[end][1]) < 2 * self._CHARS - 8 - (end - at):
-                n += len(pieces[end][1])
+            end, n = at + 1, len(pieces[at][1])
+            while end < len(pieces) and n + len(pieces[end][1]) < self._AT_ONCE:
+                n += len(pieces[end][1]) + 1
                 end += 1
-            found = self._plain([x for _, x in pieces[at:end]])
-            for (k, _), x in zip(pieces[at:end], found, strict=True):
+            some = pieces[at:end]
+            found = self._plain([x for _, x in some])
+            if found is None:
+                odd |= {k for k, x in some if self._PLAIN.search(x)}
+                some = [(k, x) for k, x in some if k not in odd]
+                found = self._plain([x for _, x in some]) or []
+            for (k, _), x in zip(some, found, strict=True):
                 out[k] += x
             at = end
-        for k, x in zip(odd, self._by_library([texts_[k] for k in odd]), strict=True):
+        left = sorted(odd)
+        for k, x in zip(left, self._by_library([texts_[k] for k in left]), strict=True):
             out[k] = x
         return out
 
-    def _plain(self, texts_: list[str]) -> list[bytes]:
-        text = np.frombuffer(("\n".join(texts_).lower() + "\n   ").encode("utf-16-le"), np.uint16)
+    def _plain(self, texts_: list[str]) -> list[bytes] | None:
+        """None: a text has letters that `_PLAIN` doesn't allow."""
+        text = np.frombuffer(("\n".join(texts_) + "\n   ").encode("utf-16-le", "surrogatepass"), np.uint16)
         kind = self.classes.take(text)
+        if kind.max() > 3:
+            return None
+        text = self.small.take(text)
         inside = kind > 0
         start = inside.copy()
         start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
@@ -459,8 +506,9 @@ class WordIds:
         size = np.flatnonzero(last) + 1 - first
 
         if self.powers is None:
-            odd = np.full(2 * self._CHARS, 0x2545F4914F6CDD1D, np.uint64)
-            back = np.full(2 * self._CHARS, pow(0x2545F4914F6CDD1D, -1, 2**64), np.uint64)
+            room = max(self._CHARS, self._AT_ONCE) + 8
+            odd = np.full(room, 0x2545F4914F6CDD1D, np.uint64)
+            back = np.full(room, pow(0x2545F4914F6CDD1D, -1, 2**64), np.uint64)
             odd[0] = back[0] = 1
             self.powers = np.cumprod(odd), np.cumprod(back)
         sums = np.zeros(len(text) + 1, np.uint64)
@@ -492,7 +540,7 @@ class WordIds:
         spaced[_ragged(begins, size)] = letters
         cuts = [*begins[::_JOINED].tolist(), len(spaced)]
         joined = [spaced[i:j].tobytes().decode("utf-16-le") for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        ids = np.concatenate([np.array(e.ids, self.width) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, self.width) for e in self.word_library.encode_batch_fast(joined, add_special_tokens=False)])
         counts = np.diff(np.flatnonzero(self.final.take(ids)), prepend=-1)
         if len(counts) != len(keys) or counts.sum() != len(ids):
             raise ValueError("the tokenizer's words are not those of its pattern")
@@ -560,7 +608,6 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str =
             ready.append((first_doc, bytes(held), parts))
         if ready:
             yield flush()
-        ids.forget()
 
     rows = texts(docs, id_col, text_col)
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -616,6 +663,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w in _by_path.values():  # what this worker learnt as it wrote
+            if w.known.numbers.n:
+                w.forget()
         rows: list[tuple] = []
         names = ["part", "doc", "doc_id", "first", "n", "crc", "whole"]
 

@@ -119,6 +119,40 @@ def test_blocks_take_little_time():
     assert (np.concatenate(back) == ids).all()
 
 
+def test_blocks_need_no_sort_or_search_for_each_id(monkeypatch):
+    asked = []
+    for name, k in (("unique", 0), ("searchsorted", 1), ("sort", 0), ("argsort", 0)):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), k=k, **b: asked.append(np.size(a[k])) or f(*a, **b))
+    ids = np.random.default_rng(4).zipf(1.3, 300_000) % 49_000
+    blocks = [ids[:200_000], ids[200_000:]]
+    back = token_blocks.decode_blocks(token_blocks.encode_blocks(blocks), [len(b) for b in blocks])
+    assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
+    assert sum(asked) < len(ids) / 50
+
+
+def test_new_words_are_not_normalised_again():
+    w = token_blocks.WordIds(WORDS)
+    texts, library = ["It'S the CAT, Äpfel: don't 1984!"], w.library
+    w.library, w._by_library = None, lambda odd: [1 / 0 for _ in odd]
+    assert np.frombuffer(w.encode(texts)[0], w.width).tolist() == library.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_texts_in_other_letters_beside_plain_ones():
+    w = token_blocks.WordIds(WORDS)
+    w._CHARS, w._AT_ONCE = 32, 64
+    plain, other = ["the cat sat on a mat " * 9, "", "it's"], ["İ", "plain at first " * 9 + "Σς 猫 😀", "a\x00b", "x" * 40]
+    for texts in (other, plain + other, other[:1] + plain, [*other * 3, *plain * 3]):
+        for t, x, e in zip(texts, w.encode(texts), w.library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(x, w.width).tolist() == e.ids, t
+
+
+def test_ranks_are_those_of_a_sort():
+    rng = np.random.default_rng(9)
+    for ids in (np.array([7]), np.zeros(5, np.int64), rng.integers(0, 49_000, 5000), rng.integers(0, 2**32 - 2, 5000), np.array([0, (1 << 18) - 1, 1 << 18])):
+        got, want = token_blocks._ranked(ids), np.unique(ids, return_inverse=True)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_words_equal_the_librarys_pattern():
     w = token_blocks.WordIds(WORDS)
     rng = random.Random(8)
